@@ -4,14 +4,34 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session, once, for clusters that don't have it installed."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="mneme-package-"))
+    atexit.register(shutil.rmtree, folder, True)
+    copy = folder / "copy" / package.name
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(folder / package.name), "zip", copy.parent, package.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, cut to ``columns`` where given."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
