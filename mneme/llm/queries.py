@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mneme.llm import pack, rankfuse, split
+from mneme.llm import neardup, neighbours, pack, rankfuse, split
 from mneme.storage import table
 
 
@@ -35,6 +35,42 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rankfuse.best(_ranked(spark, d), "query_id", "point_id", 5).select("query_id", "point_id")
 
 
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "chunks", "point_id", "source_path", "dense")
+    return neighbours.nearest(points, "point_id", "source_path", "dense", k=5, least=0.90)
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d).withColumn("similarity", F.round("similarity", 6))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d).select(
+        F.least("point_id", "neighbour").alias("point_a"), F.greatest("point_id", "neighbour").alias("point_b")
+    ).distinct()
+
+
+def p3_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest points of every point whose hash is divisible by 50, against all points, however far they are."""
+    points = table(spark, d, "chunks", "point_id", "source_path", "dense")
+    asked = F.pmod(F.xxhash64("point_id"), F.lit(50)) == 0
+    return neighbours.exact(points, asked, "point_id", "source_path", "dense", 5).withColumn("similarity", F.round("similarity", 6))
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    points = table(spark, d, "chunks", "point_id", "source_path", "text")
+    return neardup.near_duplicates(points, "point_id", "source_path", "text", least=0.5, least_words=20, run=3)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.pairs_of(*_near(spark, d)).select(F.col("a").alias("point_a"), F.col("b").alias("point_b"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every point with its group of near copies and its number of links to different texts."""
+    return neardup.groups_of(*_near(spark, d)).withColumnRenamed("key", "point_id").withColumnRenamed("owner", "source_path")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
@@ -54,6 +90,11 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_ranking": p2_ranking,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
+    "p3_exact": p3_exact,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
 }
@@ -76,7 +117,41 @@ with latest as (
     least(1, 3 * least(1, 1 - (1 - r[1]) ** 3, 3 * r[2] ** 2 * (1 - r[2]) + r[2] ** 3, r[3] ** 3)) as rho from normal
 )
 """
+_NEAR = """
+with points as (
+  select point_id, any_value(source_path) as source_path, any_value(dense)::double[64] as v from chunks
+  where len(dense) = 64 and list_sum(list_transform(dense, lambda x: abs(x))) > 0 group by point_id
+), pairs as (
+  select a.point_id, a.source_path, b.point_id as neighbour, array_cosine_similarity(a.v, b.v) as similarity
+  from points a join points b on a.source_path is distinct from b.source_path
+), best as (
+  select point_id, neighbour, similarity, row_number() over (partition by point_id order by similarity desc, neighbour) as position
+  from pairs where similarity >= 0.9 qualify position <= 5
+)
+"""
+_WORD_RUNS = r"""
+with points as (
+  select point_id, any_value(source_path) as source_path, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}]+') as w
+  from chunks where text is not null group by point_id
+), runs as (
+  select distinct point_id, source_path, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as run
+  from (select *, unnest(range(1, len(w) - 1)) as i from points where len(w) >= 20)
+), sizes as (select point_id, count(*) as n from runs group by 1),
+rare as (
+  select * from (select *, row_number() over (partition by point_id order by df, run) as k from (select *, count(*) over (partition by run) as df from runs))
+  join sizes using (point_id) where k <= n - ceil(n / 2) + 1
+), maybe as (
+  select distinct a.point_id as a, b.point_id as b from rare a join rare b on a.run = b.run and a.point_id < b.point_id and a.source_path is distinct from b.source_path
+), shared as (
+  select a, b, count(*) as n from maybe join runs x on x.point_id = a join runs y on y.point_id = b and y.run = x.run group by 1, 2
+)
+select a as point_a, b as point_b from shared join sizes s on s.point_id = a join sizes t on t.point_id = b
+where shared.n * 2 >= s.n + t.n - shared.n
+"""
 ORACLES = {
+    "p3_found": _NEAR + "select distinct least(point_id, neighbour) as point_a, greatest(point_id, neighbour) as point_b from best",
+    "p3_neighbours": _NEAR + "select point_id, neighbour, round(similarity, 6) as similarity, position from best",
+    "p6_found": _WORD_RUNS,
     "p1_found": r"select distinct point_id from chunks where length(trim(text, E' \t\r\n')) > 2800",
     "p2_ranking": _RHO + "select query_id, point_id, round(rho, 9) as rho from scored",
     "p2_found": _RHO
