@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mneme.llm import neardup, neighbours, pack, rankfuse, split
+from mneme.llm import markup, neardup, neighbours, pack, rankfuse, split
 from mneme.storage import table
 
 
@@ -20,6 +20,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where((F.col("piece") == 1) & (F.col("n_pieces") > 1)).select("point_id")
 
 
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """Points with the folder of their note as host."""
+    points = table(spark, d, "chunks", "point_id", "source_path", "text")
+    return points.withColumn("host", F.regexp_extract("source_path", r"^/?([^/]*/[^/]*)/", 1))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.residue(_marked(spark, d), "point_id", "host")
+    return found.select(F.col("key").alias("point_id"), "kind").distinct()
+
+
+def p4_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    """The wrappers of every note folder."""
+    return markup.wrappers(markup.block_streams(_marked(spark, d), "point_id", "host"))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of every point."""
+    return markup.clean_texts(_marked(spark, d), "point_id", "host")
+
+
 _SCORES = ["dense_score", "sparse_score", "colbert_score"]
 
 
@@ -93,6 +114,9 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p3_exact": p3_exact,
+    "p4_found": p4_found,
+    "p4_wrappers": p4_wrappers,
+    "p4_clean": p4_clean,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p8_found": p8_found,
