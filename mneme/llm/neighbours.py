@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from mneme.storage import materialize
 
-#: Vectors from which the rotations are learned (those with the smallest hash; all others are indexed too).
+#: Vectors from which the rotations are learned (about so many, drawn by hash; all others are indexed too).
 SAMPLE = 8192
 #: Queries that an exact scan sends to the tasks at once.
 QUERY_BLOCK = 20_000
 #: Substrings a code has, and signature bits that may differ.
-TABLES, SIGNATURE_RADIUS = 64, 22
+TABLES, SIGNATURE_RADIUS = 64, 19
 
 
 def learn_rotation(sample: np.ndarray, start: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -57,14 +57,14 @@ def learn_rotation(sample: np.ndarray, start: np.random.Generator, rounds: int =
 
 
 def encode(vectors: np.ndarray, rotations: np.ndarray, tables: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (n x tables, substring with its table's number) and a signature of up to 63 signs."""
+    """Keys (n x tables, substring with its table's number) and a signature of up to 63 signs of its own."""
     signs = vectors @ rotations > 0
     weights = (1 << np.arange(bits, dtype=np.int64))[::-1]
     keys = np.empty((len(vectors), tables), np.int64)
     for t in range(tables):
         keys[:, t] = signs[:, t * bits : (t + 1) * bits] @ weights + (t << 40)
-    first = signs[:, : min(63, signs.shape[1])]
-    return keys, first @ (1 << np.arange(first.shape[1], dtype=np.int64))
+    own = signs[:, tables * bits :][:, :63]
+    return keys, own @ (1 << np.arange(own.shape[1], dtype=np.int64))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -92,16 +92,18 @@ def _array_of(column: pd.Series) -> np.ndarray:
 
 def candidates(classes: DataFrame, tables: int = TABLES, bits: int | None = None, radius: int = SIGNATURE_RADIUS) -> DataFrame:
     """Pairs of classes (a < b) that share a substring and whose signatures are near."""
-    sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("vec").collect()
-    if not sample:
-        return classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    size = classes.count()
+    if not size:
+        return classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    drawn = F.pmod(F.xxhash64("cls", F.lit("sample")), F.lit(size)) < SAMPLE
+    sample = classes.where(drawn).select("vec").collect() or classes.select("vec").limit(SAMPLE).collect()
     learned = np.array([r["vec"] for r in sample], np.float64)
     learned /= np.linalg.norm(learned, axis=1, keepdims=True)
-    bits = bits or min(24, max(14, round(math.log2(max(2, classes.count())))))
+    bits = bits or min(24, max(14, round(math.log2(max(2, size)))))
     width = min(learned.shape[1], 64)
-    rotations = np.hstack(
-        [learn_rotation(learned, np.random.default_rng(seed)) for seed in range(-(-tables * bits // width))]
-    ).astype(np.float32)
+    turns = [learn_rotation(learned, np.random.default_rng(seed)) for seed in range(-(-tables * bits // width) + -(-63 // width))]
+    of_keys = -(-tables * bits // width)
+    rotations = np.hstack([np.hstack(turns[:of_keys])[:, : tables * bits], *turns[of_keys:]]).astype(np.float32)
     shared = classes.sparkSession.sparkContext.broadcast(rotations)
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
