@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mneme.llm import markup, neardup, neighbours, pack, rankfuse, split
+from mneme.llm import leaks, markup, neardup, neighbours, pack, rankfuse, split
 from mneme.storage import table
 
 
@@ -106,6 +106,20 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).where("n_pieces > 1 and piece = 1").select("doc_id")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    cases = table(spark, d, "gold_cases", "id", "soll").select("id", F.explode("soll.beleg").alias("beleg"))
+    return leaks.leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", cases, "id", "beleg").withColumnRenamed("case", "case_id").withColumnRenamed("key", "doc_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak with its kind, the share of the passage in order and of its figures."""
+    return _leaks(spark, d)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("verbatim").select("case_id", "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -121,6 +135,8 @@ QUERIES = {
     "p6_groups": p6_groups,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
 }
 
 _RHO = """
@@ -181,5 +197,11 @@ ORACLES = {
     "p2_found": _RHO
     + """select query_id, point_id from scored
 qualify row_number() over (partition by query_id order by round(rho, 12), round(mean_rank, 12), point_id) <= 5""",
+    "p9_found": r"""
+with cases as (select id as case_id, regexp_replace(lower(b.beleg), '[^\p{L}\p{N}]', '', 'g') as p from (select id, unnest(soll) as b from gold_cases)),
+docs as (select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') as t from documents where text is not null),
+runs as (select distinct case_id, p[i:i + 49] as run from (select *, unnest(range(1, len(p) - 48)) as i from cases where len(p) >= 50))
+select distinct case_id, doc_id from (select doc_id, t[i:i + 49] as run from (select *, unnest(range(1, len(t) - 48)) as i from docs where len(t) >= 50))
+join runs using (run)""",
     "p8_found": "select doc_id from documents where strlen(text) > 8192",
 }
