@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mneme.llm import leaks, markup, neardup, neighbours, pack, rankfuse, split
+from mneme.llm import leaks, markup, neardup, neighbours, pack, rankfuse, sentences, split
 from mneme.storage import table
 
 
@@ -120,6 +120,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where("verbatim").select("case_id", "doc_id")
 
 
+def _sentences(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "text", "fmt")
+    cut = sentences.sentences(docs, "doc_id", "text", F.col("fmt") == "note", with_text)
+    return cut.join(docs.select("doc_id", "fmt"), "doc_id") if not with_text else cut
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d, False).where("fmt in ('plain', 'wrapped')").select("doc_id", "end_char")
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every document, Markdown ones included."""
+    return _sentences(spark, d, True)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -135,6 +150,8 @@ QUERIES = {
     "p6_groups": p6_groups,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
+    "p10_found": p10_found,
+    "p10_sentences": p10_sentences,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
 }

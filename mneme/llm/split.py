@@ -29,7 +29,7 @@ BLANKS = " \t\r\n"
 STRETCH = 1 << 20
 
 _STRENGTHS = (
-    (1, re.compile(r"[ \t 　]+(?=[^ \t 　])")),
+    (1, re.compile(r"[ \t\u00a0\u3000]+(?=[^ \t\u00a0\u3000])")),
     (2, re.compile(r"[,;:)\]][ \t]+|[，、；：،؛]")),
     (3, re.compile(r"[.!?…؟।]+[\"'”“»)\]]*[ \t]+|[。！？]+[」』”）]*")),
     (4, re.compile(r"\r?\n")),
