@@ -51,7 +51,7 @@ with parents as (
 ), by_path as (
   select source_path as key, bool_or(present) as present, min(valid_from) as present_from from parents group by 1
 ), links as (
-  select source_path, indexed_at, trim(regexp_extract(link, '^([^#|]*)', 1), E' \t\r\n   　') as target
+  select source_path, indexed_at, trim(regexp_extract(link, '^([^#|]*)', 1), E' \t\r\n\u00a0  \u3000') as target
   from (select source_path, indexed_at, unnest(links) as link from notes)
 ), refs as (
   select 'notes' as tab, source_path, target, target as key, min(indexed_at) as made from links
