@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mneme.functions.text import file_stem
+
 #: White space of any script at either end.
 _EDGES = r"(?U)^\s+|\s+$"
 
@@ -31,12 +33,6 @@ def link_target(link: Column) -> Column:
     return F.when(part != "", part)
 
 
-def file_stem(path: Column) -> Column:
-    """File name without its last extension; a leading dot starts no extension."""
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", "")
-
-
 def parent_intervals(notes: DataFrame, feed: DataFrame | None = None) -> DataFrame:
     """One row per note path: ``path, valid_from, valid_to``; ``valid_to`` is null for present notes.
 

@@ -10,6 +10,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that the join shuffles both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only a session without one (tests) gets a temporary folder."""
     sc = spark.sparkContext
