@@ -34,9 +34,9 @@ def max_sim(query_units: Column, document_units: Column) -> Column:
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
-    """Dot product of two maps id -> weight over their shared ids."""
+    """Dot product of two maps id -> weight over their shared ids; null where either is null."""
     shared = F.filter(F.map_keys(a), lambda k: F.map_contains_key(b, k))
-    return F.aggregate(shared, F.lit(0.0), lambda s, k: s + F.element_at(a, k).cast("double") * F.element_at(b, k).cast("double"))
+    return F.when(b.isNotNull(), F.aggregate(shared, F.lit(0.0), lambda s, k: s + F.element_at(a, k).cast("double") * F.element_at(b, k).cast("double")))
 
 
 def pool_dense(rows: Column) -> Column:

@@ -63,7 +63,7 @@ def _dense_scan(spark, rows: list, n: int):
                 continue
             x = np.stack(batch["dense"].to_numpy()).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            own, names, theirs = batch["domain"].fillna("\0").to_numpy(str), batch["point_id"].to_numpy(), batch["owner"].fillna("\0").to_numpy(str)
+            own, names, theirs = batch["domain"].fillna("\x01").to_numpy(str), batch["point_id"].to_numpy(), batch["owner"].fillna("\x01").to_numpy(str)
             for at in range(0, len(matrix), 256):
                 s = matrix[at : at + 256] @ x.T
                 s[(domains[at : at + 256, None] != "") & (domains[at : at + 256, None] != own[None, :])] = -np.inf

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mneme.plans import data_care
+from mneme.plans import data_care, indexing, reporting, searching, texts
 
-_MODULES = (data_care,)
-FLAGSHIP = "p5_report"
+_MODULES = (data_care, texts, indexing, searching, reporting)
+FLAGSHIP = "search_batch"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
