@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mneme.operators import changefeed, references
+from mneme.plans.inputs import stem_sql, strip_sql
 from mneme.storage import table
 
 
@@ -38,7 +39,8 @@ def p7_changes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_changes": p7_changes}
 
-_STEM = r"regexp_replace(regexp_extract(source_path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1')"
+_STEM = stem_sql("source_path")
+_TARGET = strip_sql("regexp_extract(link, '^([^#|]*)', 1)")
 _REFS = rf"""
 with parents as (
   select source_path, min(indexed_at) as valid_from, true as present from notes where source_path is not null group by 1
@@ -51,7 +53,7 @@ with parents as (
 ), by_path as (
   select source_path as key, bool_or(present) as present, min(valid_from) as present_from from parents group by 1
 ), links as (
-  select source_path, indexed_at, trim(regexp_extract(link, '^([^#|]*)', 1), E' \t\r\n\u00a0  \u3000') as target
+  select source_path, indexed_at, {_TARGET} as target
   from (select source_path, indexed_at, unnest(links) as link from notes)
 ), refs as (
   select 'notes' as tab, source_path, target, target as key, min(indexed_at) as made from links
