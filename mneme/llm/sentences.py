@@ -69,7 +69,7 @@ def paragraphs(text: str, markdown: bool) -> Iterator[tuple[int, int]]:
     if markdown:
         code = [m.span() for m in _FENCE.finditer(text)]
         lines = [m.start() for m in _MARKDOWN.finditer(text)]
-        stops |= set(lines) | {text.find("\n", s) for s in lines if text[s:].lstrip(" \t")[:1] in "#|"} - {-1}
+        stops |= set(lines) | {text.find("\n", s) for s in lines if text[s : s + 16].lstrip(" \t")[:1] in "#|"} - {-1}
         begins = [a for a, _ in code]
         inside = lambda s: (k := bisect_left(begins, s)) > 0 and s < code[k - 1][1]
         stops = {s for s in stops if not inside(s)} | {x for span in code for x in span}
