@@ -66,13 +66,14 @@ def runs(hashes: np.ndarray, run: int) -> np.ndarray:
 
 def signature(sets: list[np.ndarray], bands: int, seed: int = 7) -> np.ndarray:
     """Band keys (sets x bands) of non-empty sets; two permutations with least and greatest make a band."""
-    factors = np.random.default_rng(seed).integers(0, 1 << 62, 2 * bands, dtype=np.uint64) * _U(2) + _U(1)
+    drawn = np.random.default_rng(seed).integers(0, 1 << 63, (2 * bands, 2), dtype=np.uint64)
+    shifts, factors = drawn[:, 0], drawn[:, 1] * _U(2) + _U(1)
     joined, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
     keys = np.empty((len(sets), bands), _U)
     for band in range(bands):
         key = np.full(len(sets), band + 1, _U)
-        for factor in factors[2 * band : 2 * band + 2]:
-            h = joined * factor
+        for i in (2 * band, 2 * band + 1):
+            h = (joined ^ shifts[i]) * factors[i]
             h ^= h >> _U(32)
             h *= _U(0xD6E8FEB86659FD93)
             for value in (np.minimum.reduceat(h, starts), np.maximum.reduceat(h, starts)):
