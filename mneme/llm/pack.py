@@ -9,7 +9,8 @@ fewer blocks, until one block is left, so slack does not grow with the number of
 
 An item is cut only if it alone exceeds the capacity: into full pieces and a rest, never inside a
 UTF-8 character. Null and empty texts have no tokens: they come out once, without a container.
-Repeated rows are items of their own. One block bounds what a task holds (``block_containers`` times
+Rows without key are left out;
+repeated rows are items of their own. One block bounds what a task holds (``block_containers`` times
 the capacity in tokens), whatever the sizes; no text is shuffled.
 """
 
@@ -94,7 +95,7 @@ def pack(docs: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY
     if capacity < 4:
         raise ValueError("a container must hold any one character: at least 4 tokens")
     kind = dict(docs.dtypes)[key]
-    sized = docs.select(F.col(key), F.col(text).alias("__text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("tokens"))
+    sized = docs.where(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("__text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("tokens"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

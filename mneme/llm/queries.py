@@ -120,19 +120,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where("verbatim").select("case_id", "doc_id")
 
 
-def _sentences(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+def _sentences(spark: SparkSession, d: str, **options) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text", "fmt")
-    cut = sentences.sentences(docs, "doc_id", "text", F.col("fmt") == "note", with_text)
-    return cut.join(docs.select("doc_id", "fmt"), "doc_id") if not with_text else cut
+    return sentences.sentences(docs, "doc_id", "text", F.col("fmt") == "note", **options)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _sentences(spark, d, False).where("fmt in ('plain', 'wrapped')").select("doc_id", "end_char")
+    return _sentences(spark, d, only=F.col("fmt").isin("plain", "wrapped"), with_text=False).select("doc_id", "end_char")
 
 
 def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of every document, Markdown ones included."""
-    return _sentences(spark, d, True)
+    return _sentences(spark, d)
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ paragraphs, and between tokens that often stand so and never end (or start) a pa
 
 A blank line always ends a sentence, and so does the end of the text; in Markdown (``blocks``)
 headings, list items, table rows and quotes do, too, and fenced code is one unit. Null, empty and
-blank texts have no sentences; repeated rows give repeated sentences; texts of any length are read
+blank texts have no sentences; repeated rows give repeated sentences; rows without key are left out; texts of any length are read
 whole, paragraph by paragraph. With too few reliable boundaries the model falls back to its prior:
 a mark before white space ends a sentence unless a lower-case word follows.
 """
@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 #: Hashed counters per statistic, hashed feature weights, documents that give training rows.
 SLOTS, WEIGHTS, TRAIN_DOCUMENTS = 1 << 19, 1 << 16, 4000
-#: Occurrences from which a token's own rate is trusted.
+#: Occurrences from which a token's own rate is trusted, where a third of all marks end a paragraph.
 FREQUENT = 8
-#: Occurrences without a paragraph's end (start) from which a token is a reliable non-boundary.
-NEVER_ENDS, NEVER_STARTS = 30, 150
+#: Expected ends (starts) of a paragraph from which a token that has none is a reliable non-boundary.
+NEVER_ENDS, NEVER_STARTS = 10, 35
+#: Stands for all tokens in the counters.
+_ANY = "\0"
 
 _MARK = re.compile(r"[.!?…。！？｡।॥؟۔]+")
 _BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
@@ -175,6 +177,9 @@ class Candidate:
             at += 1
         found = _TOKEN.match(text, at, min(stop, at + 48))
         self.next = found[0] if found else text[at : at + 1]
+        if found and self.mark in "。！？｡" and text[found.end() : found.end() + 1] == "\n":  # a line break inside a text without spaces cuts words
+            more = _TOKEN.match(text, found.end() + 1, min(stop, at + 48))
+            self.next += more[0] if more and not _CHARACTER.match(more[0]) else ""
         if opened != at and at < stop and self.next_class == "open":
             self.next_class = "open-" + _class(text[at])
 
@@ -208,7 +213,7 @@ class Statistics:
             if first:
                 found[3][first[0]] += 1
             for c in candidates(text, start, stop):
-                for key in {c.key, c.wider}:
+                for key in {c.key, c.wider, _ANY}:
                     found[0][key] += 1
                     if c.end >= stop:
                         found[1][key] += 1
@@ -222,34 +227,38 @@ class Statistics:
         a, b = _slots(token)
         return int(min(self.counts[which, a], self.counts[which, b]))
 
-    @staticmethod
-    def _bucket(part: int, whole: int, steps: tuple[float, ...]) -> str:
-        """The rate's band; few occurrences keep a rate of none away from the lowest bands."""
-        if whole < FREQUENT:
+    def base(self) -> float:
+        """Share of all marks that end a paragraph: what an ordinary token's rate is held against."""
+        return max(self.count(1, _ANY), 1) / max(self.count(0, _ANY), 1)
+
+    def _bucket(self, part: int, whole: int, steps: tuple[float, ...]) -> str:
+        """The band of the rate in units of the base rate; few occurrences keep a rate of none away from the lowest bands."""
+        base = self.base()
+        if whole * base < FREQUENT / 3:
             return "rare"
-        rate = (part + 0.5) / (whole + 0.5)
+        rate = (part + 0.5) / (whole * base + 0.5)
         return str(sum(rate >= s for s in steps))
 
     def _key(self, c: Candidate) -> str:
         """The token with what stands before it, or alone where that is too rare."""
-        return c.key if self.count(0, c.key) >= NEVER_ENDS else c.wider
+        return c.key if self.count(0, c.key) * self.base() >= NEVER_ENDS else c.wider
 
     def ends(self, c: Candidate, out: tuple[int, int] = (0, 0)) -> str:
         key = self._key(c)
-        return self._bucket(self.count(1, key) - out[1], self.count(0, key) - out[0], (0.004, 0.03, 0.1, 0.2))
+        return self._bucket(self.count(1, key) - out[1], self.count(0, key) - out[0], (0.012, 0.09, 0.3, 0.6))
 
     def starts(self, c: Candidate, out: tuple[int, int] = (0, 0)) -> str:
-        return self._bucket(self.count(3, c.next) - out[1], self.count(2, c.next) - out[0], (0.002, 0.02, 0.06, 0.15))
+        return self._bucket(self.count(3, c.next) - out[1], self.count(2, c.next) - out[0], (0.006, 0.06, 0.18, 0.45))
 
     def never_ends(self, c: Candidate) -> bool:
         """Whether a mark follows this token often, but ends no paragraph there: an abbreviation, an ordinal."""
         key = self._key(c)
-        n = self.count(0, key)
-        return n >= NEVER_ENDS and self.count(1, key) * 500 <= n
+        expected = self.count(0, key) * self.base()
+        return expected >= NEVER_ENDS and self.count(1, key) * 150 <= expected
 
     def never_starts(self, c: Candidate) -> bool:
-        n = self.count(2, c.next)
-        return n >= NEVER_STARTS and self.count(3, c.next) * 1000 <= n
+        expected = self.count(2, c.next) * self.base()
+        return expected >= NEVER_STARTS and self.count(3, c.next) * 300 <= expected
 
 
 def _shape(token: str) -> str:
@@ -350,9 +359,15 @@ def boundaries(text: str, markdown: bool, stats: Statistics, weights: np.ndarray
     return out
 
 
+def _rows(docs: DataFrame, key: str, text: str, blocks: Column) -> DataFrame:
+    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(blocks, F.lit(False)).alias("md")
+    )
+
+
 def learn(docs: DataFrame, key: str, text: str, blocks: Column) -> tuple[np.ndarray, np.ndarray]:
     """Counters over all documents and the weights trained on reliable boundaries."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(blocks, F.lit(False)).alias("md"))
+    rows = _rows(docs, key, text, blocks)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stats, n = Statistics(), 0
@@ -375,17 +390,19 @@ def learn(docs: DataFrame, key: str, text: str, blocks: Column) -> tuple[np.ndar
         stats = Statistics(shared.value)
         for batch in batches:
             found = [e for whole, md in zip(batch["t"], batch["md"]) for e in examples(whole, md, stats)]
-            yield pd.DataFrame({"y": [f[0] for f in found], "x": [f[1] for f in found]})
+            if found:
+                yield pd.DataFrame({"y": [f[0] for f in found], "x": [f[1] for f in found]})
 
     drawn = rows.where(F.pmod(F.xxhash64("k", F.lit("train")), F.lit(max(total, 1))) < TRAIN_DOCUMENTS)
     labelled = drawn.mapInPandas(extract, "y boolean, x array<int>").collect()
     return counts, train(sorted((r["y"], list(r["x"])) for r in labelled))
 
 
-def sentences(docs: DataFrame, key: str, text: str = "text", blocks: Column | None = None, with_text: bool = True) -> DataFrame:
+def sentences(docs: DataFrame, key: str, text: str = "text", blocks: Column | None = None, only: Column | None = None, with_text: bool = True) -> DataFrame:
     """``key, sentence_no, start_char, end_char`` and ``sentence`` for every sentence of every document.
 
-    ``blocks`` says which documents are Markdown; none by default.
+    ``blocks`` says which documents are Markdown; none by default. The model learns from all
+    documents; with ``only``, sentences of the documents where it holds come out.
     """
     blocks = F.lit(False) if blocks is None else blocks
     counts, weights = learn(docs, key, text, blocks)
@@ -402,6 +419,6 @@ def sentences(docs: DataFrame, key: str, text: str = "text", blocks: Column | No
                 rows += [(name, i + 1, a, b, whole[a:b])[: len(names)] for i, (a, b) in enumerate(found)]
             yield pd.DataFrame(rows, columns=names)
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(blocks, F.lit(False)).alias("md"))
+    rows = _rows(docs if only is None else docs.where(only), key, text, blocks)
     schema = f"key {dict(docs.dtypes)[key]}, sentence_no int, start_char int, end_char int" + ", sentence string" * with_text
     return rows.mapInPandas(cut, schema).withColumnRenamed("key", key)
