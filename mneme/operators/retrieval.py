@@ -148,7 +148,7 @@ def salvage_list(answer: Column) -> Column:
     keyed = F.from_json(inner, "struct<queries:array<string>,sub_queries:array<string>,results:array<string>>")
     values = F.map_values(F.from_json(inner, "map<string,string>"))
     found = F.coalesce(listed, keyed["queries"], keyed["sub_queries"], keyed["results"], values)
-    clean = F.filter(F.transform(found, F.trim), lambda s: s != "")
+    clean = F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(clean) > 0, clean)
 
 
