@@ -57,6 +57,43 @@ class HashingEncoder:
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
+def _digest(word: str) -> bytes:
+    return hashlib.md5(word.encode()).digest()
+
+
+def sparse_weights(text: str) -> dict[int, float]:
+    """Weight of every word, by a hashed id: one plus the logarithm of its count."""
+    counts: dict[int, int] = {}
+    for word in re.findall(r"\w+", (text or "").lower()):
+        token = int.from_bytes(_digest(word)[:4], "little") % (1 << 20)
+        counts[token] = counts.get(token, 0) + 1
+    return {t: 1.0 + math.log(n) for t, n in counts.items()}
+
+
+def token_vectors(text: str, width: int = 16, longest: int = 1000) -> list[list[float]]:
+    """One unit vector per word, up to the encoder's length."""
+    out = []
+    for word in re.findall(r"\w+", (text or "").lower())[:longest]:
+        v = np.frombuffer(_digest(word) + _digest(word + "+"), np.uint8)[:width].astype(float) - 127.5
+        out.append((v / np.linalg.norm(v)).tolist())
+    return out
+
+
+def encode_all(df: DataFrame, text: Column, encoder: Encoder | None = None) -> DataFrame:
+    """``df`` with ``dense``, ``sparse`` and ``colbert`` of the built-in encoders (dense by ``encoder`` where given)."""
+
+    @F.pandas_udf("map<int,float>")
+    def sparse(texts: pd.Series) -> pd.Series:
+        return texts.map(sparse_weights)
+
+    @F.pandas_udf("array<array<float>>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(token_vectors)
+
+    rows = encode(df.withColumn("__text", text), "__text", encoder or HashingEncoder())
+    return rows.withColumn("sparse", sparse("__text")).withColumn("colbert", tokens("__text")).drop("__text")
+
+
 class Scorer(Protocol):
     """Relevance in 0..1 of passages for a query, in batches."""
 
@@ -72,6 +109,12 @@ def overlap_scorer(queries: Sequence[str], passages: Sequence[str]) -> list[floa
     return out
 
 
+class Judge(Protocol):
+    """Raw judgements for a batch of prompts; see :func:`mneme.operators.evaluation.judge_label`."""
+
+    def __call__(self, prompts: Sequence[str]) -> Sequence[str]: ...
+
+
 class Generator(Protocol):
     """Answers for a batch of prompts."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mneme.functions import text as tx
 from mneme.functions.stats import floor_index
-from mneme.models import COST_CHARS_PER_TOKEN
+from mneme.models import COST_CHARS_PER_TOKEN, Judge, generate
 
 #: Selections from the candidates: name, how many, how many per note at most.
 VARIANTS = (("k10", 10, None), ("k5", 5, None), ("k3", 3, None), ("k5_max2", 5, 2), ("k5_max1", 5, 1))
@@ -156,3 +156,40 @@ def keyword_ranks(hits: DataFrame, keywords: DataFrame) -> DataFrame:
     """Rank of the first hit with each case's keyword, case ignored: ``case_id, keyword_rank``; null for none."""
     joined = keywords.join(hits.select("case_id", "rank", "text"), "case_id", "left")
     return joined.groupBy("case_id").agg(F.min(F.when(F.contains(F.lower("text"), F.lower("keyword")), F.col("rank"))).alias("keyword_rank"))
+
+
+def rank_only(hits: DataFrame, cases: DataFrame) -> DataFrame:
+    """Rank of the expected and of the secondary keyword, and whether the expected source is among the first three."""
+    first = keyword_ranks(hits, cases.select("case_id", F.col("expected_keyword").alias("keyword")))
+    second = keyword_ranks(hits, cases.select("case_id", F.col("expected_secondary_keyword").alias("keyword"))).withColumnRenamed("keyword_rank", "secondary_rank")
+    near = cases.select("case_id", "expected_source").join(hits.select("case_id", "rank", "note"), "case_id", "left")
+    top3 = near.groupBy("case_id").agg(F.coalesce(F.max((F.col("rank") <= 3) & F.contains("note", "expected_source")), F.lit(False)).alias("source_in_top3"))
+    return first.join(second, "case_id").join(top3, "case_id")
+
+
+def category_stats(results: DataFrame) -> DataFrame:
+    """Passed cases per category: results have category, passed."""
+    return results.groupBy("category").agg(F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"))
+
+
+def negative_scores(scored: DataFrame, variant: str = "k10") -> DataFrame:
+    """How high the best hits of cases without an answer score."""
+    rows = scored.where((F.col("variant") == variant) & (F.col("typ") == "negativ") & F.col("best_score").isNotNull())
+    return rows.agg(F.count(F.lit(1)).alias("cases"), F.median("best_score").alias("median"), F.min("best_score").alias("least"), F.max("best_score").alias("most"))
+
+
+def judge_cases(cases: DataFrame, prompts: dict[str, Column], judge: Judge) -> DataFrame:
+    """Labels of all three judgements and whether the case passes; ``prompts`` has one prompt per judgement."""
+    out = cases
+    for metric, labels in LABELS.items():
+        out = generate(out, prompts[metric], judge, f"__{metric}").withColumn(metric, judge_label(F.col(f"__{metric}"), labels)).drop(f"__{metric}")
+    return out.withColumn("overall_pass", triad_passes(*[F.col(m) for m in LABELS]))
+
+
+def report_text(summary: DataFrame) -> str:
+    """The summary as Markdown: one table of the variants, one of passage recall by type."""
+    rows = summary.orderBy("variant", F.asc_nulls_first("typ")).collect()
+    out = ["| Variante | Stelle @1 | @3 | @k | Notiz @k | MRR | Tokens | Lecks |", "|---|---|---|---|---|---|---|---|"]
+    out += [f"| {r['variant']} | {r['passage_recall_1']:.2f} | {r['passage_recall_3']:.2f} | {r['passage_recall_k']:.2f} | {r['note_recall_k']:.2f} | {r['mrr']:.2f} | {r['tokens_median']} | {r['leaks']} |" for r in rows if r["typ"] is None]
+    out += ["", "| Variante | Typ | Fälle | Stelle @k |", "|---|---|---|---|"]
+    return "\n".join(out + [f"| {r['variant']} | {r['typ']} | {r['cases']} | {r['passage_recall_k']:.2f} |" for r in rows if r["typ"] is not None])

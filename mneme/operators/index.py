@@ -91,3 +91,33 @@ def neighbours_by_link(notes: DataFrame, asked: DataFrame) -> DataFrame:
     both = out.unionByName(into).where("source_path <> n").groupBy("source_path", "n").agg(F.max("o").alias("o"), F.max("i").alias("i"))
     direction = F.when(F.col("o") & F.col("i"), "both").when(F.col("o"), "outgoing").otherwise("incoming")
     return both.join(stems.select(F.col("p").alias("n"), "domain"), "n").select("source_path", F.col("n").alias("neighbour"), "domain", direction.alias("direction"))
+
+
+def first_points(points: DataFrame, *columns: str) -> DataFrame:
+    """Properties of each note's first point, the one with the smallest id."""
+    return points.groupBy("source_path").agg(*[F.min_by(c, "point_id").alias(c) for c in columns])
+
+
+def delete_legacy(points: DataFrame, current: DataFrame) -> DataFrame:
+    """Without rows of older ingestions whose ``source`` is only the file's name, for the notes in ``current`` (source_path, run_id)."""
+    names = current.select(tx.file_name(F.col("source_path")).alias("source"), F.col("run_id").alias("__run"))
+    return points.join(names, "source", "left").where(F.col("__run").isNull() | F.col("run_id").eqNullSafe(F.col("__run"))).drop("__run")
+
+
+def token_overlap(offsets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Tokens of each chunk: those whose character range overlaps the chunk's, within their window.
+
+    ``offsets`` has window, token, off_start, off_end; ``chunks`` has window, chunk_id, char_start,
+    char_end. Special tokens end at 0 and belong nowhere. A chunk without any token gets all content
+    tokens of its window.
+    """
+    content = offsets.where("off_end > 0")
+    hit = chunks.join(content, "window").where("off_start < char_end and off_end > char_start").select("window", "chunk_id", "token")
+    bare = chunks.join(hit.select("window", "chunk_id").distinct(), ["window", "chunk_id"], "left_anti")
+    return hit.unionByName(bare.join(content, "window").select("window", "chunk_id", "token"))
+
+
+def pool_sparse(token_weights: DataFrame) -> DataFrame:
+    """Per chunk and vocabulary id the greatest non-negative weight: ``chunk_id, token_id, weight``."""
+    weight = F.max(F.greatest("weight", F.lit(0.0)))
+    return token_weights.groupBy("chunk_id", "token_id").agg(weight.alias("weight")).where("weight > 0")

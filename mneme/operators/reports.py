@@ -90,3 +90,27 @@ def latency_stats(log: DataFrame, order: list[str], latency: str, window: int =
 def runtime_totals(log: DataFrame, searched: Column, hit: Column) -> DataFrame:
     counted = log.agg(F.count_if(searched).alias("searches"), F.count_if(searched & hit).alias("cache_hits"))
     return counted.withColumn("cache_hit_rate", rate(F.col("cache_hits"), F.col("searches")))
+
+
+def heading_hints(texts: DataFrame, note: str, text: str, known: tuple[str, ...]) -> DataFrame:
+    """Short headings of level 2 and deeper that look like a list of open items, but are none of the known ones."""
+    lines = texts.select(F.col(note).alias("note"), F.explode(F.split(text, r"\r?\n")).alias("line"))
+    head = F.regexp_extract("line", r"^#{2,6}\s+(.*?)\s*#*\s*$", 1)
+    # fixed value: what such headings hold
+    like = r"(?iu)(offen|to-?do|n[aä]chste (konkrete )?schritte|idee)"
+    return lines.select("note", head.alias("heading")).where((F.col("heading") != "") & (F.size(F.split("heading", r"\s+")) <= 4) & ~F.col("heading").isin(*known) & F.col("heading").rlike(like))
+
+
+def items_text(ordered: DataFrame, markdown: bool = False) -> str:
+    """The list of open items for reading, by urgency; as a note it is marked so that it is never indexed."""
+    rows = ordered.orderBy("position").collect()
+    out = ["---\nindexed: false\n---\n"] if markdown else []
+    for i, (_, name) in enumerate(BANDS):
+        mine = [r for r in rows if r["band"] == i]
+        if mine:
+            out.append(f"## {name} ({len(mine)})" if markdown else f"{name} ({len(mine)})")
+            for r in mine:
+                age = "ohne Datum" if r["age_days"] is None else "1 Tag" if r["age_days"] == 1 else f"{r['age_days']} Tage"
+                out.append(f"- {r['title']} ({r['note']}, {age})")
+            out.append("")
+    return "\n".join(out)
