@@ -204,7 +204,21 @@ rare as (
 select a as point_a, b as point_b from shared join sizes s on s.point_id = a join sizes t on t.point_id = b
 where shared.n * 2 >= s.n + t.n - shared.n
 """
+_TAG = "|".join(sorted(markup._TAGS, key=len, reverse=True))
+_MARKUP = rf"""
+with plain as (
+  select point_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)(<(?:pre|code)[^<>]*>)[^<]*', '\1', 'g'), '`+[^`\n]+`+', ' ', 'g'), '[A-Za-z]:\\[^\s<>|"]*', ' ', 'g') as t from (
+    select point_id, regexp_replace(regexp_replace(any_value(text), '(?ms)^[ \t>]*```.*?(?:^[ \t>]*```[ \t]*$|\z)', ' ', 'g'), '(?ms)^[ \t>]*~~~.*?(?:^[ \t>]*~~~[ \t]*$|\z)', ' ', 'g') as t
+    from chunks where text is not null group by point_id)
+)
+select point_id, 'html' as kind from plain where regexp_matches(t, '(?i)</?({_TAG})(?:\s+[a-z_:@][\w:.-]*(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+))?)*\s*/?>|<!--|&(?:#[0-9]+|#x[0-9a-f]+|amp|lt|gt|quot|apos|nbsp|ndash|mdash|hellip|auml|ouml|uuml|szlig|euro|copy|rarr);')
+union all
+select point_id, 'wiki' from plain where regexp_matches(t, '(?m)''''[^''\s][^''\n]*''''|^={{2}}[ \t]+[^=\n]+[ \t]+={{2}}[ \t]*\r?$|^={{3,6}}[ \t]*[^=\n]+={{3,6}}[ \t]*\r?$|\{{\{{\s*[#:]?\pL[^{{}}]*\}}\}}|^[ \t:]*\{{\||\[\[\s*:?(?i:file|image|media|category|datei|bild|kategorie|fichier|catégorie|archivo|imagen|categoría)\s*:|__(?:NO)?TOC__|__(?:NOEDITSECTION|NOINDEX|INDEX|HIDDENCAT)__')
+union all
+select point_id, 'latex' from plain where regexp_matches(t, '(?s)\\(?:begin|end)\{{|\\[A-Za-z]+\*?\{{|\$\$[^$]+\$\$|\\\[[^\]]*[\\^_=+][^\]]*\\\]|\\\([^)]+\\\)|(?:^|[^\\\w$])\$[^\s$](?:[^$\n]*[^\s\\$])?\$(?:[^\w$]|$)|\\(?:item|alpha|beta|le|pi|sum)[^A-Za-z\\]')
+"""
 ORACLES = {
+    "p4_found": _MARKUP,
     "p3_found": _NEAR + "select distinct least(point_id, neighbour) as point_a, greatest(point_id, neighbour) as point_b from best",
     "p3_neighbours": _NEAR + "select point_id, neighbour, round(similarity, 6) as similarity, position from best",
     "p6_found": _WORD_RUNS,
