@@ -38,6 +38,8 @@ SLOTS, WEIGHTS, TRAIN_DOCUMENTS = 1 << 19, 1 << 16, 4000
 FREQUENT = 8
 #: Expected ends (starts) of a paragraph from which a token that has none is a reliable non-boundary.
 NEVER_ENDS, NEVER_STARTS = 10, 35
+#: Counters that travel to the driver as one value.
+PACKED = 1 << 15
 #: Stands for all tokens in the counters.
 _ANY = "\0"
 
@@ -328,12 +330,9 @@ def examples(text: str, markdown: bool, stats: Statistics) -> Iterator[tuple[boo
                     yield known, [_feature(f) for f in features(c, stats.ends(c, (1, 0)), stats.starts(c, (1, 0)))]
 
 
-def train(rows: list[tuple[bool, list[int]]], rounds: int = 200, pull: float = 0.5) -> np.ndarray:
-    """Logistic weights by full-batch Adam, pulled towards the prior."""
+def train(y: np.ndarray, x: np.ndarray, rounds: int = 200, pull: float = 0.5) -> np.ndarray:
+    """Logistic weights by full-batch Adam, pulled towards the prior; a row of ``x`` has the places of a candidate's features."""
     base = prior()
-    if not rows:
-        return base
-    x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], float)
     w, m, v = base.copy(), np.zeros(WEIGHTS), np.zeros(WEIGHTS)
     for step in range(1, rounds + 1):
         error = 1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30))) - y
@@ -365,6 +364,16 @@ def _rows(docs: DataFrame, key: str, text: str, blocks: Column) -> DataFrame:
     )
 
 
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block of counters as bytes; block -1 has the number of documents."""
+    block = int(rows["slot"].iloc[0] // PACKED)
+    if block < 0:
+        return pd.DataFrame({"block": [block], "data": [np.int64(rows["n"].iloc[0]).tobytes()]})
+    data = np.zeros(PACKED, np.int32)
+    data[rows["slot"].to_numpy(np.int64) - block * PACKED] = np.minimum(rows["n"].to_numpy(np.int64), 2**31 - 1)
+    return pd.DataFrame({"block": [block], "data": [data.tobytes()]})
+
+
 def learn(docs: DataFrame, key: str, text: str, blocks: Column) -> tuple[np.ndarray, np.ndarray]:
     """Counters over all documents and the weights trained on reliable boundaries."""
     rows = _rows(docs, key, text, blocks)
@@ -378,11 +387,14 @@ def learn(docs: DataFrame, key: str, text: str, blocks: Column) -> tuple[np.ndar
         which, slot = np.nonzero(stats.counts)
         yield pd.DataFrame({"slot": np.append(which * SLOTS + slot, -1), "n": np.append(stats.counts[which, slot], n)})
 
-    counted = rows.mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    total = int(counted.loc[counted["slot"] < 0, "n"].sum())
-    counted = counted[counted["slot"] >= 0]
-    counts = np.zeros(4 * SLOTS, np.int32)
-    counts[counted["slot"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), 2**31 - 1)
+    counted = rows.mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    blocks = counted.groupBy(F.floor(F.col("slot") / PACKED).alias("block")).applyInPandas(_packed, "block long, data binary").collect()
+    counts, total = np.zeros(4 * SLOTS, np.int32), 0
+    for r in blocks:
+        if r["block"] < 0:
+            total = int(np.frombuffer(r["data"], np.int64)[0])
+        else:
+            counts[r["block"] * PACKED : (r["block"] + 1) * PACKED] = np.frombuffer(r["data"], np.int32)
     counts = counts.reshape(4, SLOTS)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -391,11 +403,16 @@ def learn(docs: DataFrame, key: str, text: str, blocks: Column) -> tuple[np.ndar
         for batch in batches:
             found = [e for whole, md in zip(batch["t"], batch["md"]) for e in examples(whole, md, stats)]
             if found:
-                yield pd.DataFrame({"y": [f[0] for f in found], "x": [f[1] for f in found]})
+                y, x = np.array([f[0] for f in found], np.int32), np.array([f[1] for f in found], np.int32)
+                yield pd.DataFrame({"width": [x.shape[1] + 1], "data": [np.column_stack((y, x)).tobytes()]})
 
     drawn = rows.where(F.pmod(F.xxhash64("k", F.lit("train")), F.lit(max(total, 1))) < TRAIN_DOCUMENTS)
-    labelled = drawn.mapInPandas(extract, "y boolean, x array<int>").collect()
-    return counts, train(sorted((r["y"], list(r["x"])) for r in labelled))
+    labelled = [np.frombuffer(r["data"], np.int32).reshape(-1, r["width"]) for r in drawn.mapInPandas(extract, "width int, data binary").collect()]
+    if not labelled:
+        return counts, prior()
+    table = np.concatenate(labelled)
+    table = table[np.lexsort(table.T[::-1])]  # the order of the partitions must not matter
+    return counts, train(table[:, 0], table[:, 1:])
 
 
 def sentences(docs: DataFrame, key: str, text: str = "text", blocks: Column | None = None, only: Column | None = None, with_text: bool = True) -> DataFrame:

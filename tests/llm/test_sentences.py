@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from mneme.llm import sentences as se
@@ -15,7 +16,7 @@ def model():
         stats.add(text, fmt == "note")
     rows = sorted(e for text, fmt in texts for e in se.examples(text, fmt == "note", stats))
     held, train = rows[::5], [r for i, r in enumerate(rows) if i % 5]
-    weights = se.train(train)
+    weights = se.train(np.array([r[0] for r in train]), np.array([r[1] for r in train]))
     return stats, weights, held
 
 
