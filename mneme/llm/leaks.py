@@ -11,7 +11,7 @@ candidate search loses no verbatim leak. Candidates are then checked: for a comm
 ``run`` characters, and for paraphrases by the longest common subsequence with the passage and by
 the passage's figures.
 
-Windows of ``2 * stride`` characters every ``stride`` hold every run of up to ``stride`` characters.
+Windows of ``CELLS`` times the stride, one every stride, hold every run of up to ``CELLS - 1`` strides.
 Null and empty texts and passages, and passages shorter than ``run``, leak nowhere. Repeated rows
 count once. Documents may be of any length (they are read in stretches). Passages are handled in
 groups of bounded size, so nothing that is sent to all tasks grows with the corpus or the test set.
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from mneme.storage import materialize
 
-GRAM = 5
-RUN, STRIDE = 50, 60
+GRAM = 8
+RUN, STRIDE, CELLS = 50, 60, 3
 #: Passages per latent space and per scan of the corpus; characters per passage (longer ones are cut with overlap).
-BLOCK, GROUP, LONGEST = 128, 1024, 400
+BLOCK, GROUP, LONGEST = 256, 1024, 400
 #: Share of the least weight of a shared run at which a window becomes a candidate.
 NEAR = 0.9
 #: Characters of a document that are held as arrays at once.
@@ -120,7 +120,7 @@ def common_subsequence(a: str, b: str) -> int:
 def _stretches(stream: str, stride: int) -> Iterator[tuple[int, str]]:
     step = STRETCH - STRETCH % stride
     for base in range(0, max(1, len(stream)), step):
-        yield base, stream[base : base + step + 2 * stride]
+        yield base, stream[base : base + step + CELLS * stride]
 
 
 def document_frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -179,9 +179,9 @@ def _scan(batches: Iterator[pd.DataFrame], models: list[dict]) -> Iterator[pd.Da
                     for p, cell in _candidates(part, model, lookup):
                         passage = model["streams"][p]
                         known = runs.get((b, p)) or runs.setdefault((b, p), {passage[i : i + RUN] for i in range(len(passage) - RUN + 1)})
-                        window = part[cell * STRIDE : (cell + 2) * STRIDE]
+                        window = part[cell * STRIDE : (cell + CELLS) * STRIDE]
                         shared = any(window[i : i + RUN] in known for i in range(len(window) - RUN + 1))
-                        around = stream[max(0, base + cell * STRIDE - len(passage)) : base + (cell + 2) * STRIDE + len(passage)]
+                        around = stream[max(0, base + cell * STRIDE - len(passage)) : base + (cell + CELLS) * STRIDE + len(passage)]
                         sub = 1.0 if shared and passage in around else common_subsequence(passage, around) / len(passage)
                         figures = model["figures"][p]
                         hit = sum(f in around for f in figures) / len(figures) if figures else 1.0
@@ -197,16 +197,16 @@ def _candidates(part: str, model: dict, lookup: Lookup) -> Iterator[tuple[int, i
     cell = at // STRIDE
     weights = model["weights"][term]
     energy = np.bincount(cell, weights.astype(np.float64) ** 2)
-    energy = energy + np.append(energy[1:], 0)
+    energy = np.convolve(energy, np.ones(CELLS))[CELLS - 1 :]  # of the windows that begin at each cell
     windows = np.flatnonzero(energy >= NEAR * model["least"].min())  # no lighter window can reach any passage
     if not len(windows):
         return
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    needed = np.isin(cell[starts], np.concatenate((windows, windows + 1)))
-    latent = np.zeros((int(cell[-1]) + 3, model["vectors"].shape[1]), np.float32)
+    needed = np.isin(cell[starts], np.concatenate([windows + i for i in range(CELLS)]))
+    latent = np.zeros((int(cell[-1]) + CELLS + 1, model["vectors"].shape[1]), np.float32)
     for s, e in zip(starts[needed], np.append(starts[1:], len(cell))[needed]):
         latent[cell[s]] = weights[s:e] @ model["vectors"][term[s:e]]
-    near = (latent[windows] + latent[windows + 1]) @ model["passages"].T / model["least"]
+    near = sum(latent[windows + i] for i in range(CELLS)) @ model["passages"].T / model["least"]
     for w, p in np.argwhere(near >= NEAR):
         yield int(p), int(windows[w])
 
