@@ -23,7 +23,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -135,6 +135,7 @@ def _mark(run: str) -> str:
     return "…" if first == "…" else first
 
 
+@lru_cache(20_000)
 def _class(ch: str) -> str:
     if ch.isdigit():
         return "digit"
@@ -204,9 +205,12 @@ class Statistics:
 
     def __init__(self, counts: np.ndarray | None = None) -> None:
         self.counts = np.zeros((4, SLOTS), np.int32) if counts is None else counts
+        self._known: dict = {}
+        self._pending = (Counter(), Counter(), Counter(), Counter())
 
     def add(self, text: str, markdown: bool) -> None:
-        found: tuple[Counter, ...] = (Counter(), Counter(), Counter(_TOKEN.findall(text)), Counter())
+        found = self._pending
+        found[2].update(_TOKEN.findall(text))
         for start, stop in paragraphs(text, markdown):
             at = start
             while at < stop and (text[at] in _OPENING or text[at] in " #\u00a0\u3000"):
@@ -219,13 +223,31 @@ class Statistics:
                     found[0][key] += 1
                     if c.end >= stop:
                         found[1][key] += 1
-        for row, counter in zip(self.counts, found):
-            for token, n in counter.items():
-                a, b = _slots(token)
-                row[a] += n
-                row[b] += n
+        if len(found[2]) > 200_000:
+            self.flush()
+
+    def flush(self) -> None:
+        """Bring what was added into the counters."""
+        self._known.clear()
+        for row, counter in zip(self.counts, self._pending):
+            if counter:
+                n = np.fromiter(counter.values(), np.int32, len(counter))
+                slots = np.array([_slots(token) for token in counter])
+                np.add.at(row, slots[:, 0], n)
+                np.add.at(row, slots[:, 1], n)
+                counter.clear()
+
+    def remembered(self, key: tuple, make: Callable[[], object]) -> object:
+        """What ``make`` gives, once per ``key`` while the counters stay as they are."""
+        if key not in self._known:
+            if len(self._known) > 500_000:
+                self._known.clear()
+            self._known[key] = make()
+        return self._known[key]
 
     def count(self, which: int, token: str) -> int:
+        if self._pending[2]:
+            self.flush()
         a, b = _slots(token)
         return int(min(self.counts[which, a], self.counts[which, b]))
 
@@ -246,10 +268,16 @@ class Statistics:
         return c.key if self.count(0, c.key) * self.base() >= NEVER_ENDS else c.wider
 
     def ends(self, c: Candidate, out: tuple[int, int] = (0, 0)) -> str:
+        return self.remembered((c.key, c.wider, out), lambda: self._ends(c, out))
+
+    def _ends(self, c: Candidate, out: tuple[int, int]) -> str:
         key = self._key(c)
         return self._bucket(self.count(1, key) - out[1], self.count(0, key) - out[0], (0.012, 0.09, 0.3, 0.6))
 
     def starts(self, c: Candidate, out: tuple[int, int] = (0, 0)) -> str:
+        return self.remembered((c.next, out), lambda: self._starts(c, out))
+
+    def _starts(self, c: Candidate, out: tuple[int, int]) -> str:
         return self._bucket(self.count(3, c.next) - out[1], self.count(2, c.next) - out[0], (0.006, 0.06, 0.18, 0.45))
 
     def never_ends(self, c: Candidate) -> bool:
@@ -263,6 +291,7 @@ class Statistics:
         return expected >= NEVER_STARTS and self.count(3, c.next) * 300 <= expected
 
 
+@lru_cache(200_000)
 def _shape(token: str) -> str:
     if not token:
         return "none"
@@ -342,6 +371,13 @@ def train(y: np.ndarray, x: np.ndarray, rounds: int = 200, pull: float = 0.5) ->
     return w
 
 
+def ends_here(c: Candidate, stats: Statistics, weights: np.ndarray) -> bool:
+    """The model's decision; candidates with the same features are decided once."""
+    ends, starts, shape = stats.ends(c), stats.starts(c), _shape(c.token)
+    key = (c.mark, ends, starts, c.next_class, c.gap, c.closed, shape)
+    return stats.remembered(key, lambda: bool(weights[[_feature(f) for f in features(c, ends, starts)]].sum() > 0))
+
+
 def boundaries(text: str, markdown: bool, stats: Statistics, weights: np.ndarray) -> list[tuple[int, int]]:
     """Sentences of ``text`` as start and end."""
     out = []
@@ -350,7 +386,7 @@ def boundaries(text: str, markdown: bool, stats: Statistics, weights: np.ndarray
         at = start
         if start not in fenced:
             for c in candidates(text, start, stop):
-                if c.end < stop and c.end > at and weights[[_feature(f) for f in features(c, stats.ends(c), stats.starts(c))]].sum() > 0:
+                if c.end < stop and c.end > at and ends_here(c, stats, weights):
                     out.append((at, c.end))
                     at = c.start_of_next
         if at < stop:
@@ -384,6 +420,7 @@ def learn(docs: DataFrame, key: str, text: str, blocks: Column) -> tuple[np.ndar
             for whole, md in zip(batch["t"], batch["md"]):
                 stats.add(whole, md)
                 n += 1
+        stats.flush()
         which, slot = np.nonzero(stats.counts)
         yield pd.DataFrame({"slot": np.append(which * SLOTS + slot, -1), "n": np.append(stats.counts[which, slot], n)})
 
