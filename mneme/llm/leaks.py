@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from mneme.storage import materialize
 GRAM = 8
 RUN, STRIDE, CELLS = 50, 60, 3
 #: Passages per latent space and per scan of the corpus; characters per passage (longer ones are cut with overlap).
-BLOCK, GROUP, LONGEST = 256, 1024, 400
+BLOCK, GROUP, LONGEST = 128, 1024, 400
 #: Share of the least weight of a shared run at which a window becomes a candidate.
 NEAR = 0.9
 #: Characters of a document that are held as arrays at once.
@@ -89,7 +90,7 @@ def randomised_svd(a: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
 
 
 def latent_block(streams: list[str], terms: np.ndarray, weights: np.ndarray, run: int, rank: int) -> dict:
-    """The latent space of some passages: own terms, their weights and vectors, the passages' vectors."""
+    """The latent space of some passages: places of the terms, their weights and vectors (half precision on their way), the passages' vectors."""
     lookup = Lookup(terms)
     found = [lookup(s)[1] for s in streams]
     own = np.unique(np.concatenate(found))
@@ -101,7 +102,9 @@ def latent_block(streams: list[str], terms: np.ndarray, weights: np.ndarray, run
         span = run - GRAM + 1
         least[i] = (energy[span:] - energy[:-span]).min()
     v = randomised_svd(a, max(rank, len(streams)))
-    return {"terms": terms[own], "weights": weights[own].astype(np.float32), "vectors": v.astype(np.float32), "passages": (a @ v).astype(np.float32), "least": least}
+    place = np.full(len(terms), -1, np.int32)
+    place[own] = np.arange(len(own))
+    return {"place": place, "weights": weights[own].astype(np.float32), "vectors": v.astype(np.float16), "passages": (a @ v).astype(np.float32), "least": least}
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -167,16 +170,18 @@ def passages_of(cases: DataFrame, case: str, passage: str) -> DataFrame:
     return rows.mapInPandas(prepare, f"case {kind}, stream string, figures array<string>")
 
 
-def _scan(batches: Iterator[pd.DataFrame], models: list[dict]) -> Iterator[pd.DataFrame]:
-    lookups = [Lookup(m["terms"]) for m in models]
+def _scan(batches: Iterator[pd.DataFrame], terms: np.ndarray, models: list[dict]) -> Iterator[pd.DataFrame]:
+    lookup = Lookup(terms)
+    models = [m | {"vectors": m["vectors"].astype(np.float32)} for m in models]
     runs: dict[tuple[int, int], set[str]] = {}
     for batch in batches:
         rows = []
         for key, whole in zip(batch["key"], batch["t"]):
             stream = normal(whole)
             for base, part in _stretches(stream, STRIDE):
-                for b, (model, lookup) in enumerate(zip(models, lookups)):
-                    for p, cell in _candidates(part, model, lookup):
+                at, term = lookup(part)
+                for b, model in enumerate(models):
+                    for p, cell in _candidates(at, term, model):
                         passage = model["streams"][p]
                         known = runs.get((b, p)) or runs.setdefault((b, p), {passage[i : i + RUN] for i in range(len(passage) - RUN + 1)})
                         window = part[cell * STRIDE : (cell + CELLS) * STRIDE]
@@ -189,9 +194,10 @@ def _scan(batches: Iterator[pd.DataFrame], models: list[dict]) -> Iterator[pd.Da
         yield pd.DataFrame(rows, columns=["case", "key", "verbatim", "subsequence", "figures"])
 
 
-def _candidates(part: str, model: dict, lookup: Lookup) -> Iterator[tuple[int, int]]:
-    """Passage number and window number of the windows near a passage in the latent space."""
-    at, term = lookup(part)
+def _candidates(at: np.ndarray, term: np.ndarray, model: dict) -> Iterator[tuple[int, int]]:
+    """Passage number and window number of the windows near a passage in the latent space; terms ``term`` stand at ``at``."""
+    term = model["place"][term]
+    at, term = at[term >= 0], term[term >= 0]
     if not len(at):
         return
     cell = at // STRIDE
@@ -211,6 +217,14 @@ def _candidates(part: str, model: dict, lookup: Lookup) -> Iterator[tuple[int, i
         yield int(p), int(windows[w])
 
 
+def _scanner(packed: Broadcast):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, models = packed.value
+        return _scan(batches, terms, [pickle.loads(m) for m in models])
+
+    return scan
+
+
 def leaks(docs: DataFrame, key: str, text: str, cases: DataFrame, case: str, passage: str, rank: int = BLOCK) -> DataFrame:
     """``case, key, verbatim, subsequence, figures, kind`` for every case and document that holds a passage of it."""
     spark = docs.sparkSession
@@ -241,8 +255,9 @@ def leaks(docs: DataFrame, key: str, text: str, cases: DataFrame, case: str, pas
             return pd.DataFrame({"model": [pickle.dumps(model)]})
 
         made = spark.range(blocks).select(F.col("id").alias("block")).groupBy("block").applyInPandas(factor, "model binary").collect()
-        models = spark.sparkContext.broadcast([pickle.loads(r["model"]) for r in made])
-        found = found.unionByName(texts.mapInPandas(lambda batches, models=models: _scan(batches, models.value), schema))
+        packed = spark.sparkContext.broadcast((terms, [bytes(r["model"]) for r in made]))
+        del made
+        found = found.unionByName(texts.mapInPandas(_scanner(packed), schema))
     best = found.groupBy("case", "key").agg(F.max("verbatim").alias("verbatim"), F.max("subsequence").alias("subsequence"), F.max("figures").alias("figures"))
     paraphrase = (F.col("subsequence") >= SUBSEQUENCE) & (F.col("figures") >= FIGURES)
     return best.withColumn("kind", F.when(F.col("verbatim"), "verbatim").when(paraphrase, "paraphrase")).where("kind is not null")
