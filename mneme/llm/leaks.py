@@ -52,31 +52,37 @@ def normal(text: str) -> str:
 
 
 def grams(stream: str) -> np.ndarray:
-    """Hashes of all runs of GRAM characters."""
-    a = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-    n = len(a) - GRAM + 1
-    if n < 1:
-        return np.empty(0, _U)
-    h = np.zeros(n, _U)
-    for i in range(GRAM):
-        h = h * _U(0x9E3779B97F4A7C15) + a[i : i + n]
-        h ^= h >> _U(29)
-    return h
+    """Hashes of all runs of GRAM characters, a power of two: runs are joined from two of half the length."""
+    h = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    width = 1
+    while width < GRAM:
+        if len(h) <= width:
+            return np.empty(0, _U)
+        h = (h[:-width] ^ (h[:-width] >> _U(31))) * _U(0x9E3779B97F4A7C15) + h[width:] * _U(0xC2B2AE3D27D4EB4F)
+        width *= 2
+    return h ^ (h >> _U(32))
 
 
 class Lookup:
-    """Positions of known terms in a stream, by a bitmap and a sorted search."""
+    """Positions of known terms in a stream, by a table of their leading bits; terms that share them are searched for."""
 
     def __init__(self, terms: np.ndarray) -> None:
         self.terms = terms
-        self._maybe = np.zeros(1 << 22, bool)
-        self._maybe[(terms >> _U(42)).astype(np.int64)] = True
+        lead = (terms >> _U(42)).astype(np.int64)
+        self._place = np.full(1 << 22, -1, np.int32)
+        self._place[lead] = np.arange(len(terms))
+        lead, n = np.unique(lead, return_counts=True)
+        self._place[lead[n > 1]] = -2
 
     def __call__(self, stream: str) -> tuple[np.ndarray, np.ndarray]:
         h = grams(stream)
-        at = np.flatnonzero(self._maybe[(h >> _U(42)).astype(np.int64)])
-        term = np.minimum(np.searchsorted(self.terms, h[at]), len(self.terms) - 1)
-        known = self.terms[term] == h[at]
+        term = self._place[(h >> _U(42)).astype(np.int64)]
+        at = np.flatnonzero(term != -1)
+        h, term = h[at], term[at]
+        shared = term == -2
+        if shared.any():
+            term[shared] = np.minimum(np.searchsorted(self.terms, h[shared]), len(self.terms) - 1)
+        known = self.terms[term] == h
         return at[known], term[known]
 
 
