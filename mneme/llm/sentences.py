@@ -154,9 +154,10 @@ class Candidate:
     def __init__(self, text: str, start: int, stop: int, match: re.Match, end: int) -> None:
         self.end, self.mark = end, _mark(match[0])
         before = text[max(start, match.start() - 48) : match.start()]
-        found = _LAST.search(before)
+        last = before.rsplit(None, 1)[-1] if before and not before[-1].isspace() else ""
+        found = _LAST.search(last)
         self.token = found[1] if found else ""
-        head = before[: found.start()].rstrip() if found else before.rstrip()
+        head = before[: len(before) - len(self.token)].rstrip()
         self.wider = f"D{min(len(self.token), 5)}" if self.token.isdigit() else f"{self.token}|"
         if self.mark != ".":
             self.key = self.wider = self.mark
@@ -190,13 +191,17 @@ class Candidate:
 def candidates(text: str, start: int, stop: int) -> Iterator[Candidate]:
     signs = _Signs(text, start, stop)
     for match in _MARK.finditer(text, start, stop):
-        end = _close(text, match.end(), stop, signs)
-        if end == match.end() and match[0][0] in ".…" and end < stop and (text[end].islower() or text[end].isdigit()):
-            continue
-        if end < stop and match[0] == "." and match.start() > start and end == match.end() and text[end] in "/\\@-_=&":
-            continue
-        if match[0] == "." and _BROKEN.match(text, max(start, match.start() - 1), stop) and _CHARACTER.search(text, max(start, match.start() - 24), min(stop, end + 24)):
+        first, end = text[match.start()], match.end()
+        behind = text[end] if end < stop else ""
+        if first in ".…" and (behind.islower() or behind.isdigit()):
             continue
+        if first == "." and end == match.start() + 1:
+            if behind and behind in "/\\@-_=&" and match.start() > start:
+                continue
+            if behind == "\n" and _BROKEN.match(text, max(start, end - 2), stop) and _CHARACTER.search(text, max(start, end - 25), min(stop, end + 24)):
+                continue
+        if behind in _CLOSING or behind.isspace():
+            end = _close(text, end, stop, signs)
         yield Candidate(text, start, stop, match, end)
 
 
