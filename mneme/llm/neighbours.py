@@ -12,8 +12,9 @@ cosine, in double precision.
 
 Work is done on classes of equal vectors, so a vector that fills a third of the table is one entry
 of the index; the members of a class come back through at most ``2 * k`` representatives, which is
-all that a top-k with exclusion of the own group can use. Buckets that are large because of merely
-similar vectors are split by the adaptive skew join; nothing is capped.
+all that a top-k with exclusion of the own group can use. A bucket with more
+than about ``HOT`` different vectors (many merely similar ones) is not paired up: its members get
+their neighbours by an exact scan in blocks, which keeps the best per query; nothing is capped.
 
 Null, empty, zero and non-finite vectors have no neighbours, nor do vectors whose length is not the
 collection's most frequent one. Repeated rows of a key count once. Rows without key are left out; a
@@ -34,6 +35,8 @@ from mneme.storage import materialize
 
 #: Vectors from which the rotations are learned (about so many, drawn by hash; all others are indexed too).
 SAMPLE = 8192
+#: Different vectors in a bucket from which its members are scanned for instead of paired.
+HOT = 4096
 #: Queries that an exact scan sends to the tasks at once.
 QUERY_BLOCK = 20_000
 #: Substrings a code has, and signature bits that may differ.
@@ -90,11 +93,11 @@ def _array_of(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 1))
 
 
-def candidates(classes: DataFrame, tables: int = TABLES, bits: int | None = None, radius: int = SIGNATURE_RADIUS) -> DataFrame:
-    """Pairs of classes (a < b) that share a substring and whose signatures are near."""
+def index_entries(classes: DataFrame, tables: int = TABLES, bits: int | None = None) -> tuple[DataFrame, int]:
+    """One row ``k, cls, sig`` per class and substring, and the number of classes."""
     size = classes.count()
     if not size:
-        return classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+        return classes.select(F.col("cls").alias("k"), "cls", F.col("cls").alias("sig")), 0
     drawn = F.pmod(F.xxhash64("cls", F.lit("sample")), F.lit(size)) < SAMPLE
     sample = classes.where(drawn).select("vec").collect() or classes.select("vec").limit(SAMPLE).collect()
     learned = np.array([r["vec"] for r in sample], np.float64)
@@ -112,14 +115,29 @@ def candidates(classes: DataFrame, tables: int = TABLES, bits: int | None = None
                 keys, signature = encode(_array_of(batch["vec"]).astype(np.float32), shared.value, tables, bits)
                 yield pd.DataFrame({"k": list(keys), "cls": batch["cls"], "sig": signature})
 
-    coded = classes.select("cls", "vec").mapInPandas(codes, "k array<long>, cls long, sig long").select(F.explode("k").alias("k"), "cls", "sig")
+    coded = classes.select("cls", "vec").mapInPandas(codes, "k array<long>, cls long, sig long")
+    return coded.select(F.explode("k").alias("k"), "cls", "sig"), size
+
+
+def hot_buckets(entries: DataFrame, size: int, most: int = HOT) -> DataFrame | None:
+    """Buckets ``k`` with more than about ``most`` classes, told from a share of all classes; None if there are none."""
+    share = min(1.0, 200 / most)
+    if size <= most:
+        return None
+    drawn = entries.where(F.pmod(F.xxhash64("cls", F.lit("hot")), F.lit(1_000_000)) < int(share * 1_000_000))
+    hot = materialize(drawn.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0.8 * most * share).select("k"), "hot")
+    return hot if hot.take(1) else None
+
+
+def candidates(coded: DataFrame, radius: int = SIGNATURE_RADIUS) -> DataFrame:
+    """Pairs of classes (a < b) that share a substring and whose signatures are near."""
     left, right = coded.select("k", F.col("cls").alias("a"), F.col("sig").alias("sa")), coded.select("k", F.col("cls").alias("b"), F.col("sig").alias("sb"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= radius)
     return left.hint("merge").join(right, "k").where(near).select("a", "b").distinct()
 
 
 def nearest(
-    vectors: DataFrame, key: str, group: str, vector: str, k: int, least: float, tables: int = TABLES, bits: int | None = None
+    vectors: DataFrame, key: str, group: str, vector: str, k: int, least: float, tables: int = TABLES, bits: int | None = None, most: int = HOT
 ) -> DataFrame:
     """Up to ``k`` most similar keys of other groups with a cosine of at least ``least``: ``key, neighbour, similarity, position``."""
     rows = materialize(usable(vectors, key, group, vector), "vectors")
@@ -129,7 +147,13 @@ def nearest(
     per_group = members.withColumn("__n", F.row_number().over(Window.partitionBy("cls", "owner").orderBy(key))).where(F.col("__n") <= k)
     few = per_group.withColumn("__n", F.row_number().over(Window.partitionBy("cls").orderBy(key))).where(F.col("__n") <= 2 * k).drop("__n")
     few = materialize(few.withColumnRenamed(key, "other").withColumnRenamed("owner", "other_owner"), "representatives")
-    found = candidates(classes, tables, bits)
+    entries, size = index_entries(classes, tables, bits)
+    hot = hot_buckets(entries, size, most)
+    crowd = None
+    if hot is not None:
+        crowd = materialize(entries.join(hot, "k", "left_semi").select("cls").distinct(), "crowd")
+        entries = entries.join(hot, "k", "left_anti")
+    found = candidates(entries)
     va = classes.select(F.col("cls").alias("a"), F.col("vec").alias("va"))
     vb = classes.select(F.col("cls").alias("b"), F.col("vec").alias("vb"))
     similar = found.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
@@ -144,14 +168,19 @@ def nearest(
     offers = offers.withColumn("__n", F.row_number().over(Window.partitionBy("cls", "other_owner").orderBy(*best))).where(F.col("__n") <= k)
     offers = offers.withColumn("__n", F.row_number().over(Window.partitionBy("cls").orderBy(*best))).where(F.col("__n") <= 2 * k)
     offers = offers.groupBy("cls").agg(F.collect_list(F.struct("similarity", "other", "other_owner")).alias("__offers"))
-    return (
+    listed = (
         members.join(offers, "cls")
-        .select(F.col(key), "owner", F.explode("__offers").alias("o"))
+        .select(F.col(key), "cls", "owner", F.explode("__offers").alias("o"))
         .where(~F.col("owner").eqNullSafe(F.col("o.other_owner")))
-        .select(F.col(key), F.col("o.other").alias("neighbour"), F.col("o.similarity").alias("similarity"))
+        .select(F.col(key), "cls", F.col("o.other").alias("neighbour"), F.col("o.similarity").alias("similarity"))
         .withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbour")))
         .where(F.col("position") <= k)
     )
+    if crowd is None:
+        return listed.drop("cls")
+    of_crowd = rows.join(crowd.withColumn("asked", F.lit(True)), "cls", "left")
+    scanned = _scan_all(of_crowd, F.col("asked"), key, k).where(F.col("similarity") >= least)
+    return listed.join(crowd, "cls", "left_anti").drop("cls").unionByName(scanned)
 
 
 def exact(vectors: DataFrame, queries: Column, key: str, group: str, vector: str, k: int) -> DataFrame:
@@ -160,7 +189,12 @@ def exact(vectors: DataFrame, queries: Column, key: str, group: str, vector: str
     The stated queries are collected and sent to every task in blocks; each task keeps the best k per
     query of its rows, and only those are shuffled. For measuring recall, and for a stated query set.
     """
-    rows = usable(vectors, key, group, vector).groupBy(key).agg(F.first("owner").alias("owner"), F.first("vec").alias("vec"))
+    return _scan_all(usable(vectors, key, group, vector), queries, key, k)
+
+
+def _scan_all(rows: DataFrame, queries: Column, key: str, k: int) -> DataFrame:
+    rows = rows.withColumn("asked", F.coalesce(queries, F.lit(False))).groupBy(key).agg(F.first("owner").alias("owner"), F.first("vec").alias("vec"), F.max("asked").alias("asked"))
+    queries = F.col("asked")
     kind = dict(rows.dtypes)[key]
     schema = f"`{key}` {kind}, neighbour {kind}, similarity double"
     rows = materialize(rows, "rows")

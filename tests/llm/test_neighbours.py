@@ -81,3 +81,15 @@ def test_rotations_are_orthogonal_and_codes_deterministic():
     keys, sig = nb.encode(x, big, 4, 14)
     again, _ = nb.encode(x[:7], big, 4, 14)
     assert (keys[:7] == again).all() and len(np.unique(keys >> 40)) == 4 and sig.dtype == np.int64
+
+
+def test_crowded_buckets_are_scanned_exactly(spark):
+    """A third of all vectors in one tight cluster, all of them different."""
+    rng = np.random.default_rng(9)
+    x = np.vstack([np.ones(16) + rng.standard_normal((400, 16)) * 0.02, clustered(800, 200, dim=16, seed=8)])
+    names, owners = [f"p{i:04d}" for i in range(len(x))], [f"n{i % 300}" for i in range(len(x))]
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(a, o, v.tolist()) for a, o, v in zip(names, owners, x)], "id string, note string, dense array<float>")
+    got = {(r["id"], r["neighbour"]) for r in nb.nearest(df, "id", "note", "dense", 5, 0.9, most=100).collect()}
+    want = brute(names, owners, x, 5, 0.9)
+    assert len(got & want) / len(want) >= 0.99 and {p for p in got if p[0] < "p0400"} == {p for p in want if p[0] < "p0400"}
