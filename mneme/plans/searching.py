@@ -210,6 +210,13 @@ _HITS = """best as (
   select *, case when count(*) over (partition by query_id) <= 2 or rank = 1 then rank when rank = 2 then count(*) over (partition by query_id) else rank - 1 end as position from best
 )"""
 _CLEAN = lambda c, n: f"replace(replace(left({c}, {n}), '=== ', '~~~ '), '---', '–––')"
+_PROMPTS = f"""with {POINTS_SQL}, {_HITS}, parts as (
+  select query_id, string_agg('[Abschnitt ' || position || ']' || case when coalesce(header, '') <> '' then ' ' || {_CLEAN('header', 200)} else '' end || ' (Quelle: ' || {_CLEAN('source_path', 200)} || ')' || E'\\n' ||
+    {_CLEAN(r"regexp_replace(text, '^[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')", 2000)}, E'\\n\\n---\\n\\n' order by position) as context
+  from placed join points using (point_id) group by 1
+), made as (
+  select query_id, '{answer.INSTRUCTION}' || E'\\n\\n=== KONTEXT ===\\n\\n' || context || E'\\n\\n=== FRAGE ===\\n\\n' || {_CLEAN('sub_query', 500)} || E'\\n\\n=== ANTWORT ===' as prompt from parts join query_vecs using (query_id)
+)"""
 ORACLES = {
     "dense_topk": f"{_WITH} select query_id, sub_idx, point_id, {_ROUND}, rank from {_dense(10, 'true')}",
     "dense_topk_domain": f"{_WITH} select query_id, sub_idx, point_id, {_ROUND}, rank from {_dense(10)}",
@@ -234,11 +241,6 @@ select query_id, point_id, round(score, 6) as score, round(r, 6) as rerank_score
     "cache_invalidated": f"with {_CACHE} select cache_id, sub_query, domain from ided where domain <> 'infra'",
     "cache_totals": f"with {_CACHE} select (select count(*) from ided) as entries, (select count(*) from hits) as hits",
     "reordered": f"with {_HITS} select query_id, point_id, rank, position from placed",
-    "prompts": f"""with {POINTS_SQL}, {_HITS}, parts as (
-  select query_id, string_agg('[Abschnitt ' || position || ']' || case when coalesce(header, '') <> '' then ' ' || {_CLEAN('header', 200)} else '' end || ' (Quelle: ' || {_CLEAN('source_path', 200)} || ')' || E'\\n' ||
-    {_CLEAN(r"regexp_replace(text, '^[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')", 2000)}, E'\\n\\n---\\n\\n' order by position) as context
-  from placed join points using (point_id) group by 1
-), made as (
-  select query_id, '{answer.INSTRUCTION}' || E'\\n\\n=== KONTEXT ===\\n\\n' || context || E'\\n\\n=== FRAGE ===\\n\\n' || {_CLEAN('sub_query', 500)} || E'\\n\\n=== ANTWORT ===' as prompt from parts join query_vecs using (query_id)
-) select query_id, length(prompt)::int as n, md5(prompt) as hash from made""",
+    "prompts": f"{_PROMPTS} select query_id, length(prompt)::int as n, md5(prompt) as hash from made",
+    "answers": f"{_PROMPTS} select q.query_id, coalesce(length(prompt) || ' ' || left(sha256(prompt), 16), '{answer.NOTHING}') as answer from query_vecs q left join made using (query_id)",
 }

@@ -173,6 +173,7 @@ ORACLES = {
   round(case when p.sparse is null then null else coalesce((select sum(a.value::double * b.value::double) from (select unnest(map_entries(q.sparse), recursive := true)) a join (select unnest(map_entries(p.sparse), recursive := true)) b on a.key = b.key), 0) end, 6) as sparse_score,
   round(list_sum(list_transform(q.colbert, lambda x: list_max(list_transform(p.colbert, lambda y: list_cosine_similarity(x::double[], y::double[]))))), 6) as colbert_score
   from (select distinct query_id, point_id from candidates) c join points p using (point_id) join query_vecs q using (query_id)""",
+    "paragraph_sentences": f"""select doc_id, (len(regexp_extract_all(regexp_replace(text, '{WHITE}+', ' ', 'g'), '[.!?] [A-ZÄÖÜ"„*`[]')) + 1)::int as n from documents where text is not null""",
     "pooled": f"""{_WITH}, means as (
   select point_id, list_transform(range(1, len(colbert[1]) + 1), lambda i: list_avg(list_transform(colbert, lambda r: r[i]::double))) as m from points where len(colbert) > 0
 ), lengths as (select point_id, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) as l from means)
