@@ -51,8 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    path = "file://" + tempfile.mkdtemp(prefix="mneme-")
-    sc.setCheckpointDir(path)
+    folder = tempfile.mkdtemp(prefix="mneme-")
+    atexit.register(shutil.rmtree, folder, True)
+    sc.setCheckpointDir("file://" + folder)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
