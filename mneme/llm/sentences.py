@@ -216,6 +216,8 @@ class Statistics:
     def add(self, text: str, markdown: bool) -> None:
         found = self._pending
         found[2].update(_TOKEN.findall(text))
+        marks: list[str] = []
+        ends: list[str] = []
         for start, stop in paragraphs(text, markdown):
             at = start
             while at < stop and (text[at] in _OPENING or text[at] in " #\u00a0\u3000"):
@@ -224,10 +226,12 @@ class Statistics:
             if first:
                 found[3][first[0]] += 1
             for c in candidates(text, start, stop):
-                for key in {c.key, c.wider, _ANY}:
-                    found[0][key] += 1
-                    if c.end >= stop:
-                        found[1][key] += 1
+                keys = (_ANY, c.key) if c.key == c.wider else (_ANY, c.key, c.wider)
+                marks += keys
+                if c.end >= stop:
+                    ends += keys
+        found[0].update(marks)
+        found[1].update(ends)
         if len(found[2]) > 200_000:
             self.flush()
 
