@@ -184,49 +184,105 @@ def nearest(
 
 
 def exact(vectors: DataFrame, queries: Column, key: str, group: str, vector: str, k: int) -> DataFrame:
-    """The exact ``k`` nearest keys of other groups for the rows where ``queries`` holds, against all rows.
+    """The exact ``k`` nearest keys of other groups, however far, for the rows where ``queries`` holds, against all rows.
 
-    The stated queries are collected and sent to every task in blocks; each task keeps the best k per
-    query of its rows, and only those are shuffled. For measuring recall, and for a stated query set.
+    Work is quadratic where all rows ask. Queries go to the tasks in blocks; each task keeps the best k per
+    query of its rows, and only those are shuffled.
     """
     return _scan_all(usable(vectors, key, group, vector), queries, key, k)
 
 
 def _scan_all(rows: DataFrame, queries: Column, key: str, k: int) -> DataFrame:
-    rows = rows.withColumn("asked", F.coalesce(queries, F.lit(False))).groupBy(key).agg(F.first("owner").alias("owner"), F.first("vec").alias("vec"), F.max("asked").alias("asked"))
-    queries = F.col("asked")
+    rows = rows.withColumn("asked", F.coalesce(queries, F.lit(False))).groupBy(key).agg(
+        F.max("owner").alias("owner"), F.first("vec").alias("vec"), F.first("cls").alias("cls"), F.max("asked").alias("asked")
+    )
+    own = F.xxhash64(F.coalesce(F.col("owner").cast("string"), F.lit("")), F.col("owner").isNull())
+    rows = materialize(rows.select(key, "vec", "cls", "asked", own.alias("own"), F.xxhash64("cls", own).alias("ask")), "rows")
+    # of equal vectors, k per group and 2k in all are as much as a top-k without the own group can use
+    few = rows.select(key, "vec", "cls", "own").withColumn("__n", F.row_number().over(Window.partitionBy("cls", "own").orderBy(key))).where(F.col("__n") <= k)
+    few = few.withColumn("__n", F.row_number().over(Window.partitionBy("cls").orderBy(key))).where(F.col("__n") <= 2 * k).select(key, "vec", "own")
+    few = materialize(few, "representatives")
+    asking = materialize(rows.where("asked").groupBy("ask").agg(F.first("vec").alias("vec"), F.first("own").alias("own")), "asking")
+    blocks = -(-asking.count() // QUERY_BLOCK)
     kind = dict(rows.dtypes)[key]
-    schema = f"`{key}` {kind}, neighbour {kind}, similarity double"
-    rows = materialize(rows, "rows")
-    blocks = -(-rows.where(queries).count() // QUERY_BLOCK)
-    found = rows.sparkSession.createDataFrame([], schema)
+    best = Window.partitionBy("ask").orderBy(F.desc("similarity"), "neighbour")
+    found = rows.sparkSession.createDataFrame([], f"ask long, neighbour {kind}, similarity double, position int")
     for block in range(blocks):
-        asked = rows.where(queries & (F.pmod(F.xxhash64(key, F.lit("block")), F.lit(blocks)) == block)).collect()
-        if asked:
-            found = found.unionByName(rows.mapInPandas(_scanner(rows.sparkSession, asked, key, k), schema))
-    position = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbour"))
-    return found.withColumn("position", position).where(F.col("position") <= k)
+        asked = asking.where(F.pmod(F.xxhash64("ask", F.lit("block")), F.lit(blocks)) == block).toArrow()
+        if len(asked):
+            shared = rows.sparkSession.sparkContext.broadcast((_unit(asked["vec"].to_pandas()), asked["ask"].to_numpy(), asked["own"].to_numpy()))
+            offers = few.sortWithinPartitions(key).mapInPandas(_scanner(shared, key, k), f"ask long, neighbour {kind}, similarity double")
+            offers = offers.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
+            found = found.unionByName(materialize(offers, "scanned"))
+            shared.destroy()
+    return rows.where("asked").select(key, "ask").join(found, "ask").select(key, "neighbour", "similarity", "position")
+
+
+def _unit(column: pd.Series) -> np.ndarray:
+    x = _array_of(column)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _scanner(spark: SparkSession, asked: list, key: str, k: int):
-    q = np.array([r["vec"] for r in asked], np.float64)
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast((q, np.array([r[key] for r in asked], object), np.array([str(r["owner"]) for r in asked])))
+def _scanner(shared, key: str, k: int):
+    """The best ``k`` of a task's rows, which come sorted by key, for every query of ``shared``."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, names, owners = shared.value
+        q, asks, owns = shared.value
+        rough = q.astype(np.float32)
+        margin = 1e-7 * (q.shape[1] + 8)  # single precision errs by less
+        best, place = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+        names, base = [], 0
         for batch in batches:
             if not len(batch):
                 continue
-            x = _array_of(batch["vec"])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            ids, own = batch[key].to_numpy(), batch["owner"].astype(str).to_numpy()
+            x, own = _unit(batch["vec"]), batch["own"].to_numpy()
+            near = x.astype(np.float32).T
             for at in range(0, len(q), 512):
-                s = q[at : at + 512] @ x.T
-                s[owners[at : at + 512, None] == own[None, :]] = -np.inf
-                top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-                i, j = np.repeat(np.arange(len(s)), top.shape[1]), top.ravel()
-                ok = np.isfinite(s[i, j])
-                yield pd.DataFrame({key: names[at + i[ok]], "neighbour": ids[j[ok]], "similarity": s[i[ok], j[ok]]})
+                part = slice(at, at + 512)
+                s = rough[part] @ near
+                floor = best[part, -1]
+                if base == 0 and len(x) >= k:
+                    head = np.where(owns[part, None] == own[None, :1024], -np.inf, s[:, :1024])
+                    floor = np.partition(head, -k, axis=1)[:, -k]
+                i, j = np.nonzero(s >= (floor - 2 * margin).astype(np.float32)[:, None])
+                other = owns[part][i] != own[j]
+                i, j = i[other], j[other]
+                i, j = _leading(i, j, s[i, j], k, 2 * margin)
+                if len(i):
+                    exactly = np.concatenate([np.einsum("ij,ij->i", q[at + i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)])
+                    _merge(best[part], place[part], i, base + j, exactly)
+            names.append(batch[key].to_numpy())
+            base += len(x)
+        if names:
+            i, j = np.nonzero(place >= 0)
+            yield pd.DataFrame({"ask": asks[i], "neighbour": np.concatenate(names)[place[i, j]], "similarity": best[i, j]})
 
     return scan
+
+
+def _ranks(i: np.ndarray) -> np.ndarray:
+    """Position from 0 within runs of equal values."""
+    return np.arange(len(i)) - np.searchsorted(i, i)
+
+
+def _leading(i: np.ndarray, j: np.ndarray, value: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of every query ``i`` that lie no more than ``slack`` below its k-th."""
+    order = np.lexsort((-value, i))
+    i, j, value = i[order], j[order], value[order]
+    floor = np.full(i[-1] + 1 if len(i) else 0, -np.inf)
+    last = _ranks(i) == k - 1
+    floor[i[last]] = value[last]
+    keep = value >= floor[i] - slack
+    return i[keep], j[keep]
+
+
+def _merge(best: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> None:
+    """Take the entries into the lists of the best, in place; ties go to the smaller place."""
+    met = np.unique(i)
+    i = np.concatenate((np.repeat(met, best.shape[1]), i))
+    j, value = np.concatenate((place[met].ravel(), j)), np.concatenate((best[met].ravel(), value))
+    order = np.lexsort((j, -value, i))
+    i, j, value = i[order], j[order], value[order]
+    rank = _ranks(i)
+    keep = rank < best.shape[1]
+    best[i[keep], rank[keep]], place[i[keep], rank[keep]] = value[keep], j[keep]

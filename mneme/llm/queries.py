@@ -71,6 +71,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     ).distinct()
 
 
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest points of other notes for every usable point, however far they are."""
+    points = table(spark, d, "chunks", "point_id", "source_path", "dense")
+    return neighbours.exact(points, F.lit(True), "point_id", "source_path", "dense", 5).withColumn("similarity", F.round("similarity", 6))
+
+
 def p3_exact(spark: SparkSession, d: str) -> DataFrame:
     """The 5 nearest points of every point whose hash is divisible by 50, against all points, however far they are."""
     points = table(spark, d, "chunks", "point_id", "source_path", "dense")
@@ -141,6 +147,7 @@ QUERIES = {
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p3_nearest": p3_nearest,
     "p3_exact": p3_exact,
     "p4_found": p4_found,
     "p4_wrappers": p4_wrappers,
@@ -221,6 +228,7 @@ ORACLES = {
     "p4_found": _MARKUP,
     "p3_found": _NEAR + "select distinct least(point_id, neighbour) as point_a, greatest(point_id, neighbour) as point_b from best",
     "p3_neighbours": _NEAR + "select point_id, neighbour, round(similarity, 6) as similarity, position from best",
+    "p3_nearest": _NEAR.replace("where similarity >= 0.9 ", "") + "select point_id, neighbour, round(similarity, 6) as similarity, position from best",
     "p6_found": _WORD_RUNS,
     "p1_found": r"select distinct point_id from chunks where length(trim(text, E' \t\r\n')) > 2800",
     "p2_ranking": _RHO + "select query_id, point_id, round(rho, 9) as rho from scored",

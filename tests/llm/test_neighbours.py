@@ -93,3 +93,35 @@ def test_crowded_buckets_are_scanned_exactly(spark):
     got = {(r["id"], r["neighbour"]) for r in nb.nearest(df, "id", "note", "dense", 5, 0.9, most=100).collect()}
     want = brute(names, owners, x, 5, 0.9)
     assert len(got & want) / len(want) >= 0.99 and {p for p in got if p[0] < "p0400"} == {p for p in want if p[0] < "p0400"}
+
+
+def test_every_point_gets_its_nearest_however_far(spark):
+    """All points ask, most of them without a near one; copies of a vector, a note with a third of the points, two blocks."""
+    from pyspark.sql import functions as F
+
+    x = clustered(900, 100, dim=24, seed=3).astype(np.float32).astype(np.float64)
+    x[600:640] = x[0]
+    names, owners = [f"p{(i * 389) % 900:04d}" for i in range(900)], ["hot" if i % 3 == 0 else f"n{i % 200}" for i in range(900)]
+    df = spark.createDataFrame([(a, o, v.tolist()) for a, o, v in zip(names, owners, x)], "id string, note string, dense array<float>").repartition(3)
+    block, nb.QUERY_BLOCK = nb.QUERY_BLOCK, 500
+    try:
+        out = nb.exact(df, F.lit(True), "id", "note", "dense", 5).collect()
+    finally:
+        nb.QUERY_BLOCK = block
+    got = {}
+    for r in out:
+        got.setdefault(r["id"], []).append((r["position"], r["neighbour"]))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(900):
+        s = np.round((unit * unit[i]).sum(1), 12)
+        want = [name for _, name in sorted((-s[j], names[j]) for j in range(900) if owners[i] != owners[j])[:5]]
+        assert [name for _, name in sorted(got[names[i]])] == want
+
+
+def test_registered_query_gives_five_for_every_point(spark):
+    from mneme.llm.queries import QUERIES
+    from tests.conftest import DATA
+
+    counts = QUERIES["p3_nearest"](spark, DATA).groupBy("point_id").count().collect()
+    points = spark.read.parquet(f"{DATA}/chunks.parquet").where("exists(dense, x -> x <> 0)").select("point_id").distinct().count()
+    assert len(counts) == points and {r["count"] for r in counts} == {5}
