@@ -7,7 +7,8 @@ codes that differ in fewer bits than there are substrings agree in at least one
 probing each index at distance zero retrieves *every* code within the Hamming radius
 ``tables - 1``; codes farther apart are retrieved with the probability that some substring agrees,
 1 - (1 - (1 - a/pi)^bits)^tables for an angle a. Substrings have about log2(n) bits, so the buckets
-stay small as the collection grows. Candidates that survive a signature check get their exact
+stay small as the collection grows, and there are as many of them as keep that probability at
+``RECALL`` for the least cosine asked for. Candidates that survive a signature check get their exact
 cosine, in double precision.
 
 Work is done on classes of equal vectors, so a vector that fills a third of the table is one entry
@@ -39,8 +40,21 @@ SAMPLE = 8192
 HOT = 4096
 #: Queries that an exact scan sends to the tasks at once.
 QUERY_BLOCK = 20_000
-#: Substrings a code has, and signature bits that may differ.
+#: Substrings a code has at least, and signature bits that may differ.
 TABLES, SIGNATURE_RADIUS = 64, 19
+#: Probability with which a pair at the least cosine shares a substring.
+RECALL = 0.99
+
+
+def bits_for(size: int) -> int:
+    """Bits of a substring for so many classes."""
+    return min(24, max(14, round(math.log2(max(2, size)))))
+
+
+def tables_for(bits: int, least: float) -> int:
+    """Substrings that a code needs to find a pair at a cosine of ``least`` with a probability of ``RECALL``."""
+    agree = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log1p(-agree))) if 0 < agree < 1 else TABLES
 
 
 def learn_rotation(sample: np.ndarray, start: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -93,7 +107,7 @@ def _array_of(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 1))
 
 
-def index_entries(classes: DataFrame, tables: int = TABLES, bits: int | None = None) -> tuple[DataFrame, int]:
+def index_entries(classes: DataFrame, least: float, tables: int | None = None, bits: int | None = None) -> tuple[DataFrame, int]:
     """One row ``k, cls, sig`` per class and substring, and the number of classes."""
     size = classes.count()
     if not size:
@@ -102,7 +116,8 @@ def index_entries(classes: DataFrame, tables: int = TABLES, bits: int | None = N
     sample = classes.where(drawn).select("vec").collect() or classes.select("vec").limit(SAMPLE).collect()
     learned = np.array([r["vec"] for r in sample], np.float64)
     learned /= np.linalg.norm(learned, axis=1, keepdims=True)
-    bits = bits or min(24, max(14, round(math.log2(max(2, size)))))
+    bits = bits or bits_for(size)
+    tables = tables or tables_for(bits, least)
     width = min(learned.shape[1], 64)
     turns = [learn_rotation(learned, np.random.default_rng(seed)) for seed in range(-(-tables * bits // width) + -(-63 // width))]
     of_keys = -(-tables * bits // width)
@@ -137,7 +152,7 @@ def candidates(coded: DataFrame, radius: int = SIGNATURE_RADIUS) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, key: str, group: str, vector: str, k: int, least: float, tables: int = TABLES, bits: int | None = None, most: int = HOT
+    vectors: DataFrame, key: str, group: str, vector: str, k: int, least: float, tables: int | None = None, bits: int | None = None, most: int = HOT
 ) -> DataFrame:
     """Up to ``k`` most similar keys of other groups with a cosine of at least ``least``: ``key, neighbour, similarity, position``."""
     rows = materialize(usable(vectors, key, group, vector), "vectors")
@@ -147,7 +162,7 @@ def nearest(
     per_group = members.withColumn("__n", F.row_number().over(Window.partitionBy("cls", "owner").orderBy(key))).where(F.col("__n") <= k)
     few = per_group.withColumn("__n", F.row_number().over(Window.partitionBy("cls").orderBy(key))).where(F.col("__n") <= 2 * k).drop("__n")
     few = materialize(few.withColumnRenamed(key, "other").withColumnRenamed("owner", "other_owner"), "representatives")
-    entries, size = index_entries(classes, tables, bits)
+    entries, size = index_entries(classes, least, tables, bits)
     hot = hot_buckets(entries, size, most)
     crowd = None
     if hot is not None:

@@ -125,3 +125,19 @@ def test_registered_query_gives_five_for_every_point(spark):
     counts = QUERIES["p3_nearest"](spark, DATA).groupBy("point_id").count().collect()
     points = spark.read.parquet(f"{DATA}/chunks.parquet").where("exists(dense, x -> x <> 0)").select("point_id").distinct().count()
     assert len(counts) == points and {r["count"] for r in counts} == {5}
+
+
+def test_recall_at_the_least_cosine_holds_at_every_size():
+    """By the formula, and with the substrings of 12 million vectors and more on pairs at the threshold that the rotations have not seen."""
+    for size in (1_000, 150_000, 1_500_000, 12_000_000, 300_000_000):
+        bits = nb.bits_for(size)
+        agree = (1 - np.arccos(0.9) / np.pi) ** bits
+        assert 1 - (1 - agree) ** nb.tables_for(bits, 0.9) >= 0.99
+    rng = np.random.default_rng(4)
+    sample, x, away = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal((n, 64)) for n in (8192, 1000, 1000)))
+    away -= (away * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.9**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    tables = nb.tables_for(24, 0.9)
+    turns = np.hstack([nb.learn_rotation(sample, np.random.default_rng(seed)) for seed in range(-(-tables * 24 // 64))])
+    met = nb.encode(x, turns, tables, 24)[0] == nb.encode(y, turns, tables, 24)[0]
+    assert met.any(1).mean() >= 0.97 and met[:, :64].any(1).mean() < 0.85
