@@ -9,9 +9,9 @@ similarity s) and are then checked exactly on their sets, which are made again f
 only.
 
 Texts with equal sets are one class, so copies cost one entry of the index however many there are.
-Pairs between classes are expanded to all members; of a class with more than ``EXPANDED`` members
-the smallest that many stand for it, and every other copy is linked to the first one of another
-owner. Nulls, empty texts and texts of fewer than ``least_words`` words are near nothing; repeated
+``every_pair`` expands them to all pairs of members. ``pairs_of`` is for large classes: of more than
+``EXPANDED`` members the smallest that many and the first ones of two owners stand for the class, and
+every other copy is linked to one of another owner in its own and in each linked class. Nulls, empty texts and texts of fewer than ``least_words`` words are near nothing; repeated
 rows of a key count once; rows without key are left out; a null owner is an owner of its own.
 """
 
@@ -31,6 +31,8 @@ from mneme.storage import materialize
 BANDS, ROWS = 80, 4
 #: Members that stand for a class of exact copies in the pairs.
 EXPANDED = 64
+#: Members of a class that a task pairs up at once.
+BLOCK = 1000
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -139,24 +141,48 @@ def near_duplicates(
     return members, materialize(similar_classes(texts, members, rows, key, text, least, least_words, run), "links")
 
 
-def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of keys of different owners, smaller key first: ``a, b, similarity``."""
+def _numbered(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members that have a pair, with their number ``n`` in their class, and all links, those of a class to itself included."""
     shared = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
     linked = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).unionByName(shared).distinct()
     numbered = members.join(linked, "cls", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy("key")))
-    few = materialize(numbered.where(F.col("n") <= EXPANDED).drop("n"), "few")
-    x = few.select(F.col("cls").alias("a"), F.col("key").alias("ka"), F.col("owner").alias("oa"))
-    y = few.select(F.col("cls").alias("b"), F.col("key").alias("kb"), F.col("owner").alias("ob"))
-    across = links.join(x, "a").join(y, "b")
-    within = x.join(y, (F.col("a") == F.col("b")) & (F.col("ka") < F.col("kb"))).withColumn("similarity", F.lit(1.0))
-    first = few.groupBy("cls", "owner").agg(F.min("key").alias("key")).withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy("key"))).where("n <= 2")
-    rest = numbered.where(F.col("n") > EXPANDED).select(F.col("cls").alias("a"), F.col("key").alias("ka"), F.col("owner").alias("oa"))
-    star = rest.join(first.select(F.col("cls").alias("a"), F.col("key").alias("kb"), F.col("owner").alias("ob")), "a").withColumn("similarity", F.lit(1.0))
-    columns = ["ka", "oa", "kb", "ob", "similarity"]
-    every = across.select(*columns).unionByName(within.select(*columns)).unionByName(star.select(*columns))
-    return every.where(~F.col("oa").eqNullSafe(F.col("ob"))).select(
-        F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity"
-    ).distinct()
+    itself = shared.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity"))
+    return materialize(numbered, "numbered"), links.select("a", "b", "similarity").unionByName(itself)
+
+
+def every_pair(members: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs of keys of different owners, smaller key first: ``a, b, similarity``.
+
+    Classes meet in blocks of ``BLOCK`` members, so no task gets all pairs of a large class.
+    """
+    numbered, joined = _numbered(members, links)
+    numbered = numbered.withColumn("block", F.floor((F.col("n") - 1) / BLOCK).cast("int"))
+    blocks = numbered.groupBy("cls").agg(F.max("block").alias("last"))
+    items = joined.join(blocks.select(F.col("cls").alias("a"), F.col("last").alias("la")), "a").join(blocks.select(F.col("cls").alias("b"), F.col("last").alias("lb")), "b")
+    items = items.select("a", "b", "similarity", "lb", F.explode(F.sequence(F.lit(0), "la")).alias("pa"))
+    items = items.select("a", "b", "similarity", "pa", F.explode(F.sequence(F.lit(0), "lb")).alias("pb")).where("a <> b or pa <= pb")
+    x = numbered.select(F.col("cls").alias("a"), F.col("block").alias("pa"), F.col("key").alias("ka"), F.col("owner").alias("oa"))
+    y = numbered.select(F.col("cls").alias("b"), F.col("block").alias("pb"), F.col("key").alias("kb"), F.col("owner").alias("ob"))
+    pairs = items.join(x, ["a", "pa"]).join(y, ["b", "pb"]).where(~F.col("oa").eqNullSafe(F.col("ob")) & (F.expr("a <> b") | (F.col("ka") < F.col("kb"))))
+    return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+
+
+def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of keys of different owners that link every copy, smaller key first: ``a, b, similarity``."""
+    numbered, joined = _numbered(members, links)
+    # the first keys of two owners: one of them has another owner than any given copy
+    first = numbered.groupBy("cls", "owner").agg(F.min("key").alias("key")).withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy("key"))).where("n <= 2")
+    ends = joined.unionByName(joined.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    few, rest = numbered.where(F.col("n") <= EXPANDED), numbered.where(F.col("n") > EXPANDED)
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        x = left.select(F.col("cls").alias("a"), F.col("key").alias("ka"), F.col("owner").alias("oa"))
+        y = right.select(F.col("cls").alias("b"), F.col("key").alias("kb"), F.col("owner").alias("ob"))
+        return ends.join(x, "a").join(y, "b").where(~F.col("oa").eqNullSafe(F.col("ob"))).select(
+            F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity"
+        )
+
+    return met(few, few).unionByName(met(rest, first)).distinct()
 
 
 def groups_of(members: DataFrame, links: DataFrame) -> DataFrame:

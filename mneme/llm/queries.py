@@ -90,7 +90,7 @@ def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.pairs_of(*_near(spark, d)).select(F.col("a").alias("point_a"), F.col("b").alias("point_b"))
+    return neardup.every_pair(*_near(spark, d)).select(F.col("a").alias("point_a"), F.col("b").alias("point_b"))
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -99,3 +99,27 @@ def test_signature_agreement_estimates_similarity():
     keys = nd.signature([np.sort(a), np.sort(b)], 4000)
     share = (keys[0] == keys[1]).mean()
     assert abs(share - (1 / 3) ** 4) < 0.006
+
+
+def test_a_class_of_many_copies_keeps_all_its_pairs(spark):
+    """70 copies in one note, one more in another, and edited variants of both notes."""
+    base = [f"w{i}" for i in range(40)]
+    data = [(f"k{i:03d}", "p", " ".join(base)) for i in range(70)] + [("z", "q", " ".join(base))]
+    data += [("variant", "p", " ".join(base[:-1] + ["x"])), ("a", "r", " ".join(["y"] + base[1:]))]
+    df = spark.createDataFrame(data, "key string, owner string, text string")
+    members, links = nd.near_duplicates(df, "key", "owner", "text", 0.5, 20, 3)
+    want, block = brute(data, 0.5, 20, 3), nd.BLOCK
+    for nd.BLOCK in (7, block):
+        rows = [(r["a"], r["b"]) for r in nd.every_pair(members, links).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    linked = {(r["a"], r["b"]) for r in nd.pairs_of(members, links).collect()}
+    assert linked <= want and ("variant", "z") in linked and {("a", f"k{i:03d}") for i in range(70)} <= linked
+
+
+def test_registered_query_lists_every_pair(spark, tmp_path):
+    from mneme.llm.queries import QUERIES
+
+    base = [f"w{i}" for i in range(40)]
+    data = [(f"k{i:03d}", "p", " ".join(base)) for i in range(70)] + [("z", "q", " ".join(base)), ("variant", "p", " ".join(base[:-1] + ["x"])), ("other", "r", " ".join(["y"] + base[1:]))]
+    spark.createDataFrame(data, "point_id string, source_path string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {tuple(r) for r in QUERIES["p6_found"](spark, str(tmp_path)).collect()} == brute(data, 0.5, 20, 3)
