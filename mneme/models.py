@@ -70,10 +70,10 @@ def sparse_weights(text: str) -> dict[int, float]:
     return {t: 1.0 + math.log(n) for t, n in counts.items()}
 
 
-def token_vectors(text: str, width: int = 16, longest: int = 1000) -> list[list[float]]:
-    """One unit vector per word, up to the encoder's length."""
+def token_vectors(text: str, width: int = 16) -> list[list[float]]:
+    """One unit vector per word; ``index.build_points`` refuses a chunk with more than the store takes."""
     out = []
-    for word in re.findall(r"\w+", (text or "").lower())[:longest]:
+    for word in re.findall(r"\w+", (text or "").lower()):
         v = np.frombuffer(_digest(word) + _digest(word + "+"), np.uint8)[:width].astype(float) - 127.5
         out.append((v / np.linalg.norm(v)).tolist())
     return out

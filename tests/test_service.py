@@ -88,3 +88,21 @@ def test_smaller_operators(spark, rows):
     judged = evaluation.judge_cases(spark.createDataFrame([("a",)], "id string"), {m: F.lit(v[0]) for m, v in evaluation.LABELS.items()}, lambda prompts: [f"[{p}]" for p in prompts])
     assert judged.first()["overall_pass"] is True
     assert evaluation.category_stats(spark.createDataFrame([("A", True), ("A", False)], "category string, passed boolean")).first()["passed"] == 1
+
+
+def test_a_chunk_with_too_many_words_is_refused(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from mneme import models
+    from mneme.operators import index
+
+    df = spark.createDataFrame([("a b " * 600, 0, "n.md", "h", "s", "t")], "text string, chunk_id int, source string, header string, section_id string, document_title string")
+    embedded = models.encode_all(df, F.col("text"))
+    assert embedded.select(F.size("colbert")).first()[0] == 1200
+    columns = "links array<string>, updated string, geprueft string, quelle string"
+    for column in columns.split(", "):
+        name, kind = column.split(" ")
+        embedded = embedded.withColumn(name, F.lit(None).cast(kind))
+    with pytest.raises(Exception, match="chunk too large"):
+        index.build_points(embedded, F.col("source"), F.lit("d"), F.lit("r"), F.lit("h")).collect()
