@@ -111,11 +111,11 @@ def rrf(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     return fused.select("query_id", "point_id", F.round("sum", 6).alias("score"), F.row_number().over(ordered).alias("rank"))
 
 
-def rerank_pool(hits: DataFrame, pool: int = POOL, relevance: str = "relevance") -> DataFrame:
-    """The first ``pool`` hits in order of ``relevance`` (ties keep their order), the tail behind them unscored; ranks anew."""
+def rerank_pool(hits: DataFrame, pool: int = POOL, relevance: str = "relevance", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The first ``pool`` hits of each list ``by`` in order of ``relevance`` (ties keep their order), the tail behind them unscored; ranks anew."""
     tail = F.col("rank") > pool
     value = F.when(~tail, F.col(relevance))
-    order = Window.partitionBy("query_id").orderBy(tail, F.desc(F.coalesce(value, F.lit(0.0))), "rank")
+    order = Window.partitionBy(*by).orderBy(tail, F.desc(F.coalesce(value, F.lit(0.0))), "rank")
     return hits.withColumn("rerank_score", F.round(value, 6)).withColumn("new_rank", F.row_number().over(order)).drop("rank", relevance).withColumnRenamed("new_rank", "rank")
 
 

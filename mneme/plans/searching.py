@@ -64,14 +64,22 @@ def find_related(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found.join(numbered.select("query_id", "source_path"), "query_id").drop("query_id"))
 
 
-def rerank_pool(spark: SparkSession, d: str) -> DataFrame:
-    """Dense hits reordered by the share of the query's words that a passage has."""
+def _scored_hits(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieval.dense_topn(queries(spark, d), _points(spark, d), 15)
     texts = points(spark, d, "text")
     asked = queries(spark, d).select("query_id", "sub_idx", "sub_query")
     rows = hits.join(texts, "point_id").join(asked, ["query_id", "sub_idx"])
-    scored = models.score(rows, F.col("sub_query"), F.col("text"), models.overlap_scorer).drop("text", "sub_query")
-    return _rounded(retrieval.rerank_pool(scored.where("sub_idx = 0").drop("sub_idx")))
+    return models.score(rows, F.col("sub_query"), F.col("text"), models.overlap_scorer).drop("text", "sub_query")
+
+
+def rerank_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Dense hits of every question's first sub-query reordered by the share of the query's words that a passage has."""
+    return _rounded(retrieval.rerank_pool(_scored_hits(spark, d).where("sub_idx = 0").drop("sub_idx")))
+
+
+def rerank_pools(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every sub-query, each with its own pool."""
+    return _rounded(retrieval.rerank_pool(_scored_hits(spark, d), by=("query_id", "sub_idx")))
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +154,7 @@ def compact_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    dense_topk, dense_topk_domain, sparse_topk, hybrid_search, rrf_fusion, search_batch, find_related, rerank_pool,
+    dense_topk, dense_topk_domain, sparse_topk, hybrid_search, rrf_fusion, search_batch, find_related, rerank_pool, rerank_pools,
     cache_lookup, cache_cleanup, cache_invalidated, cache_totals, reordered, prompts, answers, compact_hits,
 )}
 
@@ -236,6 +244,11 @@ from anchors a join points p on a.source_path <> p.source_path where {_USABLE} q
   from hits h join points p using (point_id) join asked q using (query_id, sub_idx)
 ), valued as (select *, case when rank <= 10 then case when len(a) > 0 then len(list_intersect(a, b)) / len(a) else 0 end end as r from scored)
 select query_id, point_id, round(score, 6) as score, round(r, 6) as rerank_score, row_number() over (partition by query_id order by rank > 10, coalesce(r, 0) desc, rank) as rank from valued""",
+    "rerank_pools": rf"""{_WITH}, hits as {_dense(15)}, scored as (
+  select h.query_id, h.sub_idx, h.point_id, h.score, h.rank, list_distinct(regexp_extract_all(lower(q.sub_query), '[\p{{L}}\p{{N}}_]+')) as a, list_distinct(regexp_extract_all(lower(p.text), '[\p{{L}}\p{{N}}_]+')) as b
+  from hits h join points p using (point_id) join asked q using (query_id, sub_idx)
+), valued as (select *, case when rank <= 10 then case when len(a) > 0 then len(list_intersect(a, b)) / len(a) else 0 end end as r from scored)
+select query_id, sub_idx, point_id, round(score, 6) as score, round(r, 6) as rerank_score, row_number() over (partition by query_id, sub_idx order by rank > 10, coalesce(r, 0) desc, rank) as rank from valued""",
     "cache_lookup": f"with {_CACHE} select * from hits",
     "cache_cleanup": f"with {_CACHE} select cache_id, sub_query, domain, created_at from fresh",
     "cache_invalidated": f"with {_CACHE} select cache_id, sub_query, domain from ided where domain <> 'infra'",

@@ -176,3 +176,11 @@ def test_encoder_is_deterministic_and_of_unit_length(spark):
     df = models.encode(spark.createDataFrame([("ein Text",), ("ein Text",), ("",), (None,)], "t string"), "t", models.HashingEncoder(16))
     v = [r["dense"] for r in df.collect()]
     assert v[0] == v[1] and abs(np.linalg.norm(v[0]) - 1) < 1e-6 and not any(v[2]) and not any(v[3])
+
+
+def test_every_sub_query_is_reranked(spark):
+    from mneme.plans import registry
+
+    data = "/root/testdata/sf0.01"
+    out = registry.queries()["rerank_pools"](spark, data)
+    assert out.select("query_id", "sub_idx").distinct().count() == spark.read.parquet(f"{data}/query_vecs.parquet").select("query_id").distinct().count() == 10
