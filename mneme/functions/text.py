@@ -74,12 +74,19 @@ def hidden(relative_path: Column) -> Column:
     return relative_path.rlike(r"(^|/)\.")
 
 
+#: Code, in which nothing is a link: fenced blocks and spans within one line.
+_CODE = r"(?s:```.*?```)|`[^`\n]*`"
+
+
 def wikilinks(text: Column) -> Column:
-    """Sorted distinct targets of ``[[target#anchor|display]]`` outside of code; empty for no text."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", ""), r"`[^`]*`", "")
-    found = F.regexp_extract_all(bare, F.lit(r"\[\[([^\]|#]+?)(?:[#|][^\]]*)?\]\]"), 1)
-    targets = F.filter(F.transform(found, strip), lambda t: t != "")
-    return F.coalesce(F.array_sort(F.array_distinct(targets)), F.array().cast("array<string>"))
+    """Sorted distinct targets of ``[[target#anchor|display]]`` outside of code; empty for no text.
+
+    A link holds no closing bracket; its target is what stands before the first ``#`` or ``|``.
+    """
+    inner = F.regexp_extract_all(F.regexp_replace(text, _CODE, ""), F.lit(r"\[\[([^\]]+)\]\]"), 1)
+    targets = F.transform(inner, lambda link: strip(F.split_part(F.translate(link, "|", "#"), F.lit("#"), F.lit(1))))
+    named = F.array_sort(F.array_distinct(F.filter(targets, lambda t: t != "")))
+    return F.coalesce(named, F.array().cast("array<string>"))
 
 
 def embedding_text(title: Column, header: Column, text: Column) -> Column:
@@ -110,9 +117,21 @@ def domain_of(domain: Column) -> Column:
     return F.when(clean != "", clean)
 
 
+#: Fixed value: where a long paragraph is cut.
+SENTENCE_BREAK = r"(?<=[.!?])(?U:\s)+(?=[A-ZÄÖÜ\"„*`\[])"
+
+
 def sentences(paragraph: Column) -> Column:
     """Rule-based cut of one long paragraph: a mark, white space, then a capital, quote or markup sign."""
-    return F.split(paragraph, r"(?<=[.!?])(?U:\s)+(?=[A-ZÄÖÜ\"„*`\[])")
+    return F.split(paragraph, SENTENCE_BREAK)
+
+
+_LINE_ENDS = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def unix_lines(text: Column) -> Column:
+    """Every kind of line end as one line feed."""
+    return F.regexp_replace(text, _LINE_ENDS, "\n")
 
 
 def front_matter(markdown: Column) -> Column:

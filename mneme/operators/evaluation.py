@@ -42,13 +42,19 @@ def evidence_hits(hits: DataFrame, cases: DataFrame, keys: list[str]) -> DataFra
     return hits.join(soll, ["case_id", "note"]).where(F.contains(tx.collapse(F.col("text")), F.col("passage"))).select(*keys, "rank", "evidence")
 
 
-def formatted_length(rank: Column, score: Column, note: Column, text: Column) -> Column:
+#: Fixed value: the heading of a hit as it is shown; the note's place comes first where it is.
+HEADING = "## Result %d (score: %.2f, source: %s%s.md)"
+#: The folder that headings name before a note.
+FOLDER = "/vault/notes/"
+
+
+def formatted_length(rank: Column, score: Column, note: Column, text: Column, folder: str = FOLDER) -> Column:
     """Characters of one hit as it is shown: heading, text, blank line, each with its line break."""
-    head = F.format_string("## Result %d (score: %.2f, source: /mnt/f/vault/notes/%s.md)", rank, score, note)
+    head = F.format_string(HEADING, rank, score, F.lit(folder), note)
     return F.length(head) + F.length(tx.strip(text)) + 3
 
 
-#: Length of the line below the hits.
+#: Fixed value: length of the line below the hits.
 FOOTER = len("*Cache hit: false, latency: 100ms*")
 
 

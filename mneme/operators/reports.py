@@ -50,21 +50,22 @@ def graph_totals(notes: DataFrame) -> DataFrame:
     return one.crossJoin(dead).crossJoin(alone).crossJoin(ends)  # one row each
 
 
+#: Marker, struck out or not, title in bold, plain beginning: what an item's first line holds, in this order.
+_LEAD = rf"(?U)^({BANDS[0][0]}|{BANDS[1][0]})?\s*(?:~~)?\s*(?:\*\*(.+?)\*\*)?(.{{0,70}})"
+_SINCE = r"(?U)\(seit\s+(\d{4}-\d{2}-\d{2})\)"
+
+
 def items_from(texts: DataFrame, note: str, text: str, heading: str, domain: str | None = None) -> DataFrame:
     """Items below ``heading``: ``note, domain, done, marker, since, title, text``."""
-    rows = texts.select(
+    i = F.col("i")
+    lead = [F.regexp_extract(i["first"], _LEAD, n) for n in (1, 2, 3)]
+    body = tx.strip(F.regexp_replace(F.concat(i["first"], F.lit(" "), i["rest"]), rf"^(?:{BANDS[0][0]}|{BANDS[1][0]})", ""))
+    return texts.select(
         F.col(note).alias("note"), (F.col(domain) if domain else F.lit(None).cast("string")).alias("domain"), F.explode(items_of(F.col(text), heading)).alias("i")
-    ).select("note", "domain", "i.done", "i.first", "i.rest")
-    marker = F.when(F.col("first").startswith(BANDS[0][0]), BANDS[0][0]).when(F.col("first").startswith(BANDS[1][0]), BANDS[1][0]).otherwise("")
-    rows = rows.withColumn("marker", marker).withColumn("head", tx.strip(F.expr("substring(first, length(marker) + 1)")))
-    whole = tx.strip(F.concat("head", F.lit(" "), "rest"))
-    since = F.regexp_extract(whole, r"\(seit\s+(\d{4}-\d{2}-\d{2})\)", 1)
-    bare = tx.strip(F.regexp_replace("head", "^~~", ""))
-    bold = F.regexp_extract(bare, r"^\*\*(.+?)\*\*", 1)
-    title = F.regexp_replace(tx.strip(F.when(bold != "", bold).otherwise(F.substring(bare, 1, 70))), r"[.:~]+$", "")
-    return rows.select(
-        "note", "domain", "done", "marker", F.when(since != "", since).alias("since"), title.alias("title"),
-        tx.strip(F.regexp_replace(whole, r"\(seit\s+\d{4}-\d{2}-\d{2}\)", "")).alias("text"),
+    ).select(
+        "note", "domain", i["done"].alias("done"), lead[0].alias("marker"), F.nullif(F.regexp_extract(body, _SINCE, 1), F.lit("")).alias("since"),
+        F.regexp_replace(tx.strip(F.concat(lead[1], F.when(lead[1] == "", lead[2]).otherwise(""))), r"[.:~]+$", "").alias("title"),
+        tx.strip(F.regexp_replace(body, _SINCE, "")).alias("text"),
     )
 
 

@@ -68,3 +68,28 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 NOTES_SQL = """note_rows as (
   select source_path, max(domain) as domain, max(links) as links, max(content_hash) as content_hash, min(indexed_at) as indexed_at from notes group by 1
 )"""
+
+_UNIX = r"regexp_replace(text, '\r\n|[\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]', chr(10), 'g')"
+#: Units of every point from its lines: fences by parity, runs of lines by what begins them.
+UNITS_SQL = rf"""lines as (
+  select point_id, generate_subscripts(l, 1) as i, unnest(l) as line from (select point_id, string_split({_UNIX}, chr(10)) as l from points where text is not null)
+), bare as (
+  select *, {strip_sql("line")} as b, starts_with({strip_sql("line")}, '```') as fence from lines
+), parity as (
+  select *, sum(fence::int) over (partition by point_id order by i) as f from bare
+), kinds as (
+  select *, case when f % 2 = 1 or fence then 'code' when b = '' then 'blank' when left(b, 1) in ('#', '|') then 'line'
+    when regexp_matches(b, '^(?:[-*] |>|[0-9]+\.{WHITE})') then 'item' else 'text' end as kind from parity
+), begun as (
+  select *, case kind when 'code' then fence and f % 2 = 1 when 'text' then coalesce(lag(kind) over (partition by point_id order by i) not in ('item', 'text'), true) else true end as begins from kinds
+), numbered as (
+  select *, sum(begins::int) over (partition by point_id order by i) as u from begun
+), runs as (
+  select point_id, u, min_by(kind, i) as kind, case when min_by(kind, i) = 'code' then string_agg(line, chr(10) order by i) else string_agg(b, ' ' order by i) end as unit
+  from numbered where kind <> 'blank' group by 1, 2
+), cut as (
+  select point_id, u, case when kind = 'text' and length(unit) > 400 then string_split(regexp_replace(unit, '([.!?]){WHITE}+([A-ZÄÖÜ"„*`[])', '\1' || chr(1) || '\2', 'g'), chr(1)) else [unit] end as l from runs
+), pieces as (select point_id, u, generate_subscripts(l, 1) as k, unnest(l) as unit from cut), units as (
+  select point_id, (row_number() over (partition by point_id order by u, k) - 1)::int as idx, unit from pieces
+  where {strip_sql("unit")} <> '' and not regexp_full_match(unit, '\|[\s:|-]*\|')
+)"""

@@ -202,7 +202,7 @@ found as (select distinct variant, h.case_id, rank, n from shown h join soll s o
 per_passage as (select variant, case_id, min(rank) as passage_rank, count(distinct n) as covered from found group by 1, 2),
 per_case as (
   select variant, h.case_id, min(h.rank) filter (list_contains(list_transform(g.soll, lambda s: s.notiz), note)) as note_rank,
-    sum(length('## Result ' || h.rank || ' (score: ' || printf('%.2f', score) || ', source: /mnt/f/vault/notes/' || note || '.md)') + length({_STRIP('text')}) + 3) + 34 as chars,
+    sum(length('## Result ' || h.rank || ' (score: ' || printf('%.2f', score) || ', source: /vault/notes/' || note || '.md)') + length({_STRIP('text')}) + 3) + 34 as chars,
     coalesce(sum(length(text)) filter (f.rank is not null), 0) as useful, sum(length(text)) as total, count(*) - count(distinct note) as repeats,
     coalesce(list_sort(list(distinct note) filter (list_contains(g.darf_nicht, note))), []) as leaks, arg_min(score, h.rank) as best_score
   from shown h join gold_cases g on g.id = h.case_id left join (select distinct variant, case_id, rank from found) f using (variant, case_id, rank) group by 1, 2

@@ -10,7 +10,7 @@ from mneme.functions import text as tx
 from mneme.functions import vector as vx
 from mneme.operators import answer, cache, compress, retrieval
 from mneme.operators.chunking import units_of
-from mneme.plans.inputs import POINTS_SQL, QUERIES_SQL, points, queries, stem_sql
+from mneme.plans.inputs import POINTS_SQL, QUERIES_SQL, UNITS_SQL, points, queries, stem_sql
 from mneme.storage import table
 
 NOW = "2025-07-01 00:00:00"
@@ -225,7 +225,33 @@ _PROMPTS = f"""with {POINTS_SQL}, {_HITS}, parts as (
 ), made as (
   select query_id, '{answer.INSTRUCTION}' || E'\\n\\n=== KONTEXT ===\\n\\n' || context || E'\\n\\n=== FRAGE ===\\n\\n' || {_CLEAN('sub_query', 500)} || E'\\n\\n=== ANTWORT ===' as prompt from parts join query_vecs using (query_id)
 )"""
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{L}\p{N}_]+')"
+#: The built-in encoder: a word's digest gives its coordinate and its sign.
+_HASHED = lambda rows, keys, text: f"""(select {keys}, ('0x' || substr(h, 1, 2))::int % 64 as i, sum(case when substr(h, 15, 2) >= '80' then 1.0 else -1.0 end)::double as v
+  from (select {keys}, md5(unnest({_WORDS.replace('{0}', text)})) as h from {rows}) group by all)"""
+_COMPACT = rf"""chosen as (
+  select query_id, point_id, row_number() over (partition by query_id order by dense_score desc, point_id) as n from (select distinct query_id, point_id, dense_score from candidates where dense_score is not null) qualify n <= 5
+), chosen_units as (select query_id, point_id, idx, unit from chosen join units using (point_id)),
+hashed as {_HASHED("chosen_units", "query_id, point_id, idx", "unit")},
+asking as {_HASHED("query_vecs", "query_id", "sub_query")},
+unit_norms as (select query_id, point_id, idx, sqrt(sum(v * v)) as l from hashed group by 1, 2, 3), query_norms as (select query_id, sqrt(sum(v * v)) as l from asking group by 1),
+dots as (select h.query_id, point_id, idx, sum(h.v * a.v) as s from hashed h join asking a on a.query_id = h.query_id and a.i = h.i group by 1, 2, 3),
+ranked as (
+  select query_id, point_id, idx, unit, length(unit) as n, idx = 0 and starts_with(unit, '#') as head,
+    row_number() over (partition by query_id, point_id order by round(coalesce(s / nullif(u.l * q.l, 0), 0), 6) desc, idx) as place, count(*) over (partition by query_id, point_id) as total
+  from chosen_units left join dots using (query_id, point_id, idx) left join unit_norms u using (query_id, point_id, idx) left join query_norms q using (query_id)
+), folded as (
+  select query_id, point_id, idx, unit, total, place, true as kept, case when head then 0 else n end as used, not head as anything from ranked where place = 1
+  union all
+  select r.query_id, r.point_id, r.idx, r.unit, r.total, r.place, r.head or not f.anything or f.used + r.n <= 400,
+    case when not r.head and (not f.anything or f.used + r.n <= 400) then f.used + r.n else f.used end, f.anything or not r.head
+  from folded f join ranked r on r.query_id = f.query_id and r.point_id = f.point_id and r.place = f.place + 1
+), shown as (
+  select query_id, point_id, idx, total, case when idx <> coalesce(lag(idx) over (partition by query_id, point_id order by idx), -1) + 1 then E'[…]\n' else '' end || unit as line from folded where kept
+)"""
 ORACLES = {
+    "compact_hits": rf"""with recursive {POINTS_SQL}, {UNITS_SQL}, {_COMPACT}
+select query_id, point_id, string_agg(line, chr(10) order by idx) || case when max(idx) < any_value(total) - 1 then E'\n[…]' else '' end as compact from shown group by 1, 2""",
     "dense_topk": f"{_WITH} select query_id, sub_idx, point_id, {_ROUND}, rank from {_dense(10, 'true')}",
     "dense_topk_domain": f"{_WITH} select query_id, sub_idx, point_id, {_ROUND}, rank from {_dense(10)}",
     "sparse_topk": f"{_WITH} select query_id, sub_idx, point_id, {_ROUND}, rank from {_sparse(10)}",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mneme.functions import text as tx
 from mneme.functions import vector as vx
 from mneme.operators import chunking, retrieval
-from mneme.plans.inputs import POINTS_SQL, QUERIES_SQL, WHITE, points, queries, stem_sql, strip_sql, uuid_sql
+from mneme.plans.inputs import POINTS_SQL, QUERIES_SQL, UNITS_SQL, WHITE, points, queries, stem_sql, strip_sql, uuid_sql
 from mneme.storage import table
 
 
@@ -76,8 +76,9 @@ def front_matter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paragraph_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Number of rule-based pieces of each document taken as one paragraph."""
-    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.size(tx.sentences(tx.collapse(F.col("text")))).alias("n"))
+    """Rule-based pieces of each document taken as one paragraph, as hashes."""
+    rows = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    return rows.select("doc_id", F.posexplode(tx.sentences(tx.collapse(F.col("text")))).alias("idx", "piece")).select("doc_id", "idx", F.md5("piece").alias("hash"))
 
 
 def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -94,10 +95,9 @@ def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pooled(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of each point's token vectors at length one, first coordinate and length."""
+    """Mean of each point's token vectors at length one, every coordinate."""
     p = points(spark, d, "colbert").where(F.size("colbert") > 0)
-    v = vx.pool_dense(F.col("colbert"))
-    return p.select("point_id", F.round(F.get(v, F.lit(0)), 6).alias("first"), F.round(vx.norm(v), 6).alias("length"))
+    return p.select("point_id", F.posexplode(vx.pool_dense(F.col("colbert"))).alias("i", "v")).select("point_id", "i", F.round("v", 6).alias("v"))
 
 
 def chunk_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -109,9 +109,10 @@ def chunk_headers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """All chunks of the Markdown documents, oversized sections cut."""
-    docs = table(spark, d, "documents", "doc_id", "text", "fmt").where("fmt = 'note' and text is not null")
-    return chunking.chunk_markdown(docs.select(F.concat(F.lit("/vault/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("markdown")))
+    """All chunks of all documents taken as Markdown files, oversized sections cut; texts as hashes."""
+    docs = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    files = docs.select(F.concat(F.lit("/vault/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("markdown"))
+    return chunking.chunk_markdown(files).withColumn("text", F.md5("text"))
 
 
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -121,9 +122,9 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hit_units(spark: SparkSession, d: str) -> DataFrame:
-    """Number and total length of the units of every point's text."""
-    u = points(spark, d, "text").select("point_id", chunking.units_of(F.col("text")).alias("u"))
-    return u.select("point_id", F.size("u").alias("n"), F.aggregate("u", F.lit(0), lambda s, x: s + F.length(x)).alias("chars"))
+    """The units of every point's text, in order, as hashes."""
+    u = points(spark, d, "text").select("point_id", F.posexplode(chunking.units_of(F.col("text"))).alias("idx", "unit"))
+    return u.select("point_id", "idx", F.md5("unit").alias("hash"))
 
 
 def decomposed(spark: SparkSession, d: str) -> DataFrame:
@@ -148,8 +149,25 @@ QUERIES = {f.__name__: f for f in (
 _POINT_ID = uuid_sql("source_path || '::' || chunk_id")
 _CACHE_ID = uuid_sql("'cache::' || coalesce(domain, '_global') || '::' || sub_query")
 _COLLAPSED = f"regexp_replace(lower(text), '{WHITE}+', ' ', 'g')"
-_NO_CODE = "regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`[^`]*`', '', 'g')"
+_NO_CODE = "regexp_replace(text, '(?s:```.*?```)|`[^`\\n]*`', '', 'g')"
 _TARGETS = rf"unnest(regexp_extract_all({_NO_CODE}, '\[\[([^\]|#]+?)(?:[#|][^\]]*)?\]\]', 1))"
+_SECTIONS = rf"""docs as (select '/vault/' || doc_id || '.md' as path, doc_id, text from documents where fmt = 'note' and text is not null),
+lines as (select path, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from docs),
+flagged as (select *, regexp_matches(line, '^#{{1,2}}{WHITE}+.+') as head from lines),
+numbered as (select *, sum(head::int) over (partition by path order by i) as s, min(i) over (partition by path) as first_line, bool_or(head) over (partition by path) as headed from flagged),
+blocks as (
+  select path, doc_id, s, headed, min(i) as at, {strip_sql("string_agg(line, chr(10) order by i)")} as text, first(line order by i) as head_line from numbered group by path, doc_id, s, headed
+), titles as (
+  select path, first({strip_sql("regexp_extract(line, '^#" + WHITE + "+(.+)$', 1)")} order by i) as title from lines where regexp_matches(line, '^#{WHITE}+.+') group by path
+), sections as (
+  select b.path, (case when b.headed and exists (select 1 from blocks z where z.path = b.path and z.s = 0) then s when b.headed then s - 1 else 0 end)::int as section,
+    case when headed then {strip_sql("regexp_replace(head_line, '^#+', '')")} else doc_id::varchar end as header,
+    coalesce(t.title, b.doc_id::varchar) as document_title, b.text
+  from blocks b left join titles t using (path) where (not headed or s > 0) and b.text <> ''
+)"""
+_BEFORE = lambda sep, reach: f"(select case when e > 0 then least(length(text), pos + 2800) - {reach} + e end from (select length(regexp_extract(substr(text, pos + 2801 - {reach}, {reach}), '(?s)^(.*{sep})', 1)) as e))"
+#: End of the piece that begins at ``pos``: no shortening, as with 3.1 characters a token every piece of 2,800 fits.
+_STOP = rf"""case when pos + 2800 >= length(text) then length(text) else coalesce({_BEFORE(chr(92) + "n" + chr(92) + "n", 500)}, {_BEFORE(chr(92) + "n", 200)}, {_BEFORE(" ", 100)}, pos + 2800) end"""
 _WITH = f"with {POINTS_SQL}, {QUERIES_SQL}"
 ORACLES = {
     "point_ids": f"select distinct point_id, {_POINT_ID} as made, {_POINT_ID} = point_id as same from chunks",
@@ -173,11 +191,13 @@ ORACLES = {
   round(case when p.sparse is null then null else coalesce((select sum(a.value::double * b.value::double) from (select unnest(map_entries(q.sparse), recursive := true)) a join (select unnest(map_entries(p.sparse), recursive := true)) b on a.key = b.key), 0) end, 6) as sparse_score,
   round(list_sum(list_transform(q.colbert, lambda x: list_max(list_transform(p.colbert, lambda y: list_cosine_similarity(x::double[], y::double[]))))), 6) as colbert_score
   from (select distinct query_id, point_id from candidates) c join points p using (point_id) join query_vecs q using (query_id)""",
-    "paragraph_sentences": f"""select doc_id, (len(regexp_extract_all(regexp_replace(text, '{WHITE}+', ' ', 'g'), '[.!?] [A-ZÄÖÜ"„*`[]')) + 1)::int as n from documents where text is not null""",
+    "paragraph_sentences": f"""select doc_id, (generate_subscripts(l, 1) - 1)::int as idx, md5(unnest(l)) as hash from (
+  select doc_id, string_split(regexp_replace(regexp_replace(text, '{WHITE}+', ' ', 'g'), '([.!?]) ([A-ZÄÖÜ"„*`[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as l from documents where text is not null)""",
     "pooled": f"""{_WITH}, means as (
   select point_id, list_transform(range(1, len(colbert[1]) + 1), lambda i: list_avg(list_transform(colbert, lambda r: r[i]::double))) as m from points where len(colbert) > 0
 ), lengths as (select point_id, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) as l from means)
-select point_id, round(m[1] / l, 6) as first, 1.0::double as length from lengths""",
+select point_id, (generate_subscripts(m, 1) - 1)::int as i, round(unnest(m) / l, 6) as v from lengths""",
+    "hit_units": f"{_WITH}, {UNITS_SQL} select point_id, idx, md5(unit) as hash from units",
     "chunk_windows": f"""with recursive {POINTS_SQL}, sized as (
   select source_path, chunk_id, ceil(length(text) / 3.1)::int as tokens, row_number() over (partition by source_path order by chunk_id) as n from points
 ), folded as (
@@ -187,20 +207,27 @@ select point_id, round(m[1] / l, 6) as first, 1.0::double as length from lengths
     case when s.tokens > 600 then 601 when f.used + s.tokens > 600 then s.tokens else f.used + s.tokens end
   from folded f join sized s on s.source_path = f.source_path and s.n = f.n + 1
 ) select source_path, chunk_id, tokens, w as "window" from folded""",
-    "chunk_headers": rf"""
-with docs as (select '/vault/' || doc_id || '.md' as path, doc_id, text from documents where fmt = 'note' and text is not null),
-lines as (select path, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from docs),
-flagged as (select *, regexp_matches(line, '^#{{1,2}}{WHITE}+.+') as head from lines),
-numbered as (select *, sum(head::int) over (partition by path order by i) as s, min(i) over (partition by path) as first_line, bool_or(head) over (partition by path) as headed from flagged),
-blocks as (
-  select path, doc_id, s, headed, min(i) as at, {strip_sql("string_agg(line, chr(10) order by i)")} as text, first(line order by i) as head_line from numbered group by path, doc_id, s, headed
-), titles as (
-  select path, first({strip_sql("regexp_extract(line, '^#" + WHITE + "+(.+)$', 1)")} order by i) as title from lines where regexp_matches(line, '^#{WHITE}+.+') group by path
-)
-select b.path, (case when b.headed and exists (select 1 from blocks z where z.path = b.path and z.s = 0) then s when b.headed then s - 1 else 0 end)::int as section,
-  case when headed then {strip_sql("regexp_replace(head_line, '^#+', '')")} else doc_id::varchar end as header,
-  coalesce(t.title, b.doc_id::varchar) as document_title, length(b.text)::int as n
-from blocks b left join titles t using (path) where (not headed or s > 0) and b.text <> ''""",
+    "chunk_headers": rf"""with {_SECTIONS}
+select path, section, header, document_title, length(text)::int as n from sections""",
+    "chunk_windows": f"""with recursive {POINTS_SQL}, sized as (
+  select source_path, chunk_id, ceil(length(text) / 3.1)::int as tokens, row_number() over (partition by source_path order by chunk_id) as n from points
+), folded as (
+  select source_path, chunk_id, tokens, n, 1 as w, case when tokens > 600 then 601 else tokens end as used from sized where n = 1
+  union all
+  select s.source_path, s.chunk_id, s.tokens, s.n, case when s.tokens > 600 or f.used + s.tokens > 600 then f.w + 1 else f.w end,
+    case when s.tokens > 600 then 601 when f.used + s.tokens > 600 then s.tokens else f.used + s.tokens end
+  from folded f join sized s on s.source_path = f.source_path and s.n = f.n + 1
+) select source_path, chunk_id, tokens, w as "window" from folded""",
+    "chunk_headers": rf"""with {_SECTIONS}
+select path, section, header, document_title, length(text)::int as n from sections""",
+    "chunk_markdown": rf"""with recursive {_SECTIONS.replace("fmt = 'note' and ", "")}, pieces as (
+  select path, section, header, document_title, text, 0 as pos, {_STOP.replace("pos", "0")} as stop, 1 as tries from sections
+  union all
+  select path, section, header, document_title, text, stop - 400, {_STOP.replace("pos", "(stop - 400)")}, tries + 1 from pieces where stop < length(text) and stop - 400 > pos
+), texts as (select path, section, header, document_title, pos, {strip_sql("substr(text, pos + 1, stop - pos)")} as text from pieces),
+parts as (select *, row_number() over (partition by path, section order by pos) as part from texts where text <> '')
+select path, regexp_extract(path, '([^/]*)$', 1) as source, (row_number() over (partition by path order by section, part) - 1)::int as chunk_id,
+  case when part > 1 then header || ' (Teil ' || part || ')' else header end as header, left(sha256(regexp_extract(path, '([^/]*)$', 1) || '::' || header), 16) as section_id, document_title, md5(text) as text from parts""",
     "decomposed": """
 with forms as (
   select query_id, sub_query as q, case query_id % 4 when 0 then [sub_query || ' a', sub_query] when 1 then [sub_query || ' a', sub_query || ' b', sub_query]

@@ -33,7 +33,7 @@ def test_stems_are_pathlibs(spark, path):
 
 
 @pytest.mark.parametrize(
-    "text, want", [("[[b]] [[a|x]] [[a#y]] [[ c ]]", ["a", "b", "c"]), ("`[[x]]` ```\n[[y]]\n``` [[z]]", ["z"]), ("[[]] [[ ]] [x]", []), ("", []), (None, [])]
+    "text, want", [("[[b]] [[a|x]] [[a#y]] [[ c ]]", ["a", "b", "c"]), ("`[[x]]` ```\n[[y]]\n``` [[z]]", ["z"]), ("[[]] [[ ]] [x]", []), ("a ` b\n[[Ziel]]\nc ` d", ["Ziel"]), ("[[#nur]] [[|x]] [[a]b]] [[c|d#e]] `[[f]]`", ["c"]), ("", []), (None, [])]
 )
 def test_wikilinks(spark, text, want):
     assert one(spark, tx.wikilinks(F.col("t")), t=text) == want
