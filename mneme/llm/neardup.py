@@ -6,9 +6,10 @@ so half the evaluations give the same number of signature values, each of which
 sets with a probability equal to their Jaccard similarity. A band joins the two values of two
 permutations; pairs of texts that share a band are candidates (1 - (1 - s^4)^bands of the pairs at
 similarity s) and are then checked exactly on their sets, which are made again for the candidates
-only.
+only. Band keys are spread over partitions of bounded size; the classes of one band are paired up in
+blocks of ``BLOCK``, so a band that many different texts share is split over tasks, whatever its size.
 
-Texts with equal sets are one class, so copies cost one entry of the index however many there are.
+Texts with equal sets are one class, so copies cost one entry of the index per task that reads them.
 ``every_pair`` expands them to all pairs of members. ``pairs_of`` is for large classes: of more than
 ``EXPANDED`` members the smallest that many and the first ones of two owners stand for the class, and
 every other copy is linked to one of another owner in its own and in each linked class. Nulls, empty texts and texts of fewer than ``least_words`` words are near nothing; repeated
@@ -26,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mneme.storage import materialize
+from mneme.storage import broadcast_if_small, materialize, partitions_for
 
-BANDS, ROWS = 80, 4
+BANDS, ROWS = 120, 4
 #: Members that stand for a class of exact copies in the pairs.
 EXPANDED = 64
-#: Members of a class that a task pairs up at once.
+#: Members of a class, and classes of a band, that a task pairs up at once.
 BLOCK = 1000
+#: Bits of a band's key; its number takes the bits above them.
+KEY_BITS = 40
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -80,7 +83,7 @@ def signature(sets: list[np.ndarray], bands: int, seed: int = 7) -> np.ndarray:
             h *= _U(0xD6E8FEB86659FD93)
             for value in (np.minimum.reduceat(h, starts), np.maximum.reduceat(h, starts)):
                 key = (key ^ (key >> _U(31))) * _U(0xBF58476D1CE4E5B9) + value
-        keys[:, band] = key
+        keys[:, band] = (key >> _U(64 - KEY_BITS)) + (_U(band) << _U(KEY_BITS))
     return keys.view(np.int64)
 
 
@@ -96,13 +99,21 @@ def _sets(batches: Iterator[pd.DataFrame], least_words: int, run: int, step: int
 
 
 def signed(texts: DataFrame, key: str, owner: str, text: str, least_words: int, run: int, bands: int) -> DataFrame:
-    """``key, owner, cls, bands`` for every row with enough words; written once."""
+    """``key, owner, cls, bands`` for every row with enough words; written once. Bands are null where the same task gave them for the class before."""
     kind, owner_kind = dict(texts.dtypes)[key], dict(texts.dtypes)[owner]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given: set[int] = set()
         for part, sets in _sets(batches, least_words, run):
             classes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], _U).view(np.int64)
-            yield pd.DataFrame({"key": part["key"].to_numpy(), "owner": part["owner"].to_numpy(), "cls": classes, "bands": list(signature(sets, bands))})
+            if len(given) > 1_000_000:
+                given.clear()
+            fresh = [i for i, c in enumerate(classes.tolist()) if c not in given and not given.add(c)]
+            out: list = [None] * len(sets)
+            if fresh:
+                for i, row in zip(fresh, signature([sets[i] for i in fresh], bands)):
+                    out[i] = row
+            yield pd.DataFrame({"key": part["key"].to_numpy(), "owner": part["owner"].to_numpy(), "cls": classes, "bands": out})
 
     rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(text).alias("text")
@@ -110,11 +121,24 @@ def signed(texts: DataFrame, key: str, owner: str, text: str, least_words: int,
     return materialize(rows.mapInPandas(sign, f"key {kind}, owner {owner_kind}, cls long, bands array<long>"), "signed")
 
 
-def similar_classes(texts: DataFrame, members: DataFrame, signed_rows: DataFrame, key: str, text: str, least: float, least_words: int, run: int) -> DataFrame:
+def banded_pairs(signed_rows: DataFrame, bands: int) -> DataFrame:
+    """Pairs of classes (a < b) that share a band."""
+    entries = signed_rows.where("bands is not null")
+    parts = partitions_for(entries.count() * bands, 24, signed_rows.sparkSession.sparkContext.defaultParallelism, 32 << 20)
+    spread = entries.select("cls", F.explode("bands").alias("k")).repartition(parts, "k")
+    shared = spread.groupBy("k").agg(F.collect_set("cls").alias("c")).where(F.size("c") > 1)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("c") - 1) / BLOCK).cast("int")), lambda i: F.slice("c", i * BLOCK + 1, BLOCK))
+    split = shared.select(blocks.alias("blocks"))
+    few = split.where(F.size("blocks") == 1).select(F.col("blocks")[0].alias("x"), F.col("blocks")[0].alias("y"))
+    many = split.where(F.size("blocks") > 1).select("blocks", F.posexplode("blocks").alias("i", "x"))
+    many = many.select("x", F.explode(F.expr("slice(blocks, i + 1, size(blocks))")).alias("y")).repartition(parts, F.xxhash64("x", "y"))
+    met = few.unionByName(many).select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).where("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def similar_classes(texts: DataFrame, members: DataFrame, signed_rows: DataFrame, key: str, text: str, least: float, least_words: int, run: int, bands: int) -> DataFrame:
     """Pairs of classes (a < b) with their exact Jaccard similarity of at least ``least``."""
-    entries = signed_rows.groupBy("cls").agg(F.first("bands").alias("bands")).select("cls", F.explode("bands").alias("k"))
-    left, right = entries.select("k", F.col("cls").alias("a")), entries.select("k", F.col("cls").alias("b"))
-    pairs = materialize(left.hint("merge").join(right, "k").where("a < b").select("a", "b").distinct(), "pairs")
+    pairs = materialize(banded_pairs(signed_rows, bands), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     first = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key"))
 
@@ -122,7 +146,7 @@ def similar_classes(texts: DataFrame, members: DataFrame, signed_rows: DataFrame
         for part, sets in _sets(batches, least_words, run):
             yield pd.DataFrame({"cls": part["cls"].to_numpy(), "items": [s.view(np.int64) for s in sets]})
 
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(first, "key")
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(broadcast_if_small(first), "key")
     sets = rows.mapInPandas(again, "cls long, items array<long>").groupBy("cls").agg(F.first("items").alias("items"))
     sets = materialize(sets, "sets")
     a, b = sets.select(F.col("cls").alias("a"), F.col("items").alias("ia")), sets.select(F.col("cls").alias("b"), F.col("items").alias("ib"))
@@ -138,7 +162,7 @@ def near_duplicates(
     rows = signed(texts, key, owner, text, least_words, run, bands)
     members = rows.groupBy("key").agg(F.max(F.struct("cls", "owner")).alias("m")).select("key", "m.owner", "m.cls")
     members = materialize(members, "members")
-    return members, materialize(similar_classes(texts, members, rows, key, text, least, least_words, run), "links")
+    return members, materialize(similar_classes(texts, members, rows, key, text, least, least_words, run, bands), "links")
 
 
 def _numbered(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -186,7 +210,7 @@ def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def groups_of(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Connected groups: ``key, owner, group, n_links``; ``group`` is the smallest class, ``n_links`` its class's links.
+    """Connected groups: ``key, owner, group, n_links``; ``group`` is the smallest key of the group, ``n_links`` the number of different texts that the row's text is linked to.
 
     Classes take the least label among their neighbours and then that label's own label (pointer
     jumping), so the number of rounds grows with the logarithm of the longest chain; every round is
@@ -205,7 +229,7 @@ def groups_of(members: DataFrame, links: DataFrame) -> DataFrame:
         if not jumped.where("label <> old").take(1):
             break
     degree = edges.groupBy(F.col("x").alias("cls")).agg(F.count(F.lit(1)).alias("n_links"))
-    return (
-        members.join(labels.withColumnRenamed("x", "cls"), "cls", "left").join(degree, "cls", "left")
-        .select("key", "owner", F.coalesce("label", "cls").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    labelled = members.join(labels.withColumnRenamed("x", "cls"), "cls", "left").join(degree, "cls", "left")
+    labelled = materialize(labelled.select("key", "owner", F.coalesce("label", "cls").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "labelled")
+    names = labelled.groupBy("label").agg(F.min("key").alias("group"))
+    return labelled.join(names, "label").select("key", "owner", "group", "n_links")

@@ -211,6 +211,27 @@ rare as (
 select a as point_a, b as point_b from shared join sizes s on s.point_id = a join sizes t on t.point_id = b
 where shared.n * 2 >= s.n + t.n - shared.n
 """
+_GROUPS = r"""
+with recursive points as (
+  select point_id, any_value(source_path) as source_path, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}]+') as w
+  from chunks where text is not null group by point_id
+), long as (
+  select point_id, source_path, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as s from points where len(w) >= 20
+), members as (select point_id, source_path, md5(s::varchar) as cls from long),
+runs as (select cls, unnest(s) as run from (select md5(s::varchar) as cls, any_value(s) as s from long group by 1)),
+sizes as (select cls, count(*) as n from runs group by 1),
+rare as (
+  select * from (select *, row_number() over (partition by cls order by df, run) as k from (select *, count(*) over (partition by run) as df from runs))
+  join sizes using (cls) where k <= n - ceil(n / 2) + 1
+), maybe as (select distinct a.cls as a, b.cls as b from rare a join rare b on a.run = b.run and a.cls < b.cls),
+shared as (select a, b, count(*) as n from maybe join runs x on x.cls = a join runs y on y.cls = b and y.run = x.run group by 1, 2),
+links as (select a, b from shared join sizes s on s.cls = a join sizes t on t.cls = b where shared.n * 2 >= s.n + t.n - shared.n),
+edges as (select a as x, b as y from links union all select b, a from links),
+reach as (select cls as x, cls as y from sizes union select r.x, e.y from reach r join edges e on e.x = r.y),
+least as (select x, min(point_id) as "group" from reach join members on cls = y group by 1),
+degree as (select x, count(*) as n from edges group by 1)
+select point_id, source_path, "group", coalesce(n, 0) as n_links from members join least l on l.x = cls left join degree d on d.x = cls
+"""
 _TAG = "|".join(sorted(markup._TAGS, key=len, reverse=True))
 _MARKUP = rf"""
 with plain as (
@@ -230,6 +251,7 @@ ORACLES = {
     "p3_neighbours": _NEAR + "select point_id, neighbour, round(similarity, 6) as similarity, position from best",
     "p3_nearest": _NEAR.replace("where similarity >= 0.9 ", "") + "select point_id, neighbour, round(similarity, 6) as similarity, position from best",
     "p6_found": _WORD_RUNS,
+    "p6_groups": _GROUPS,
     "p1_found": r"select distinct point_id from chunks where length(trim(text, E' \t\r\n')) > 2800",
     "p2_ranking": _RHO + "select query_id, point_id, round(rho, 9) as rho from scored",
     "p2_found": _RHO

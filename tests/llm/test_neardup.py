@@ -123,3 +123,30 @@ def test_registered_query_lists_every_pair(spark, tmp_path):
     data = [(f"k{i:03d}", "p", " ".join(base)) for i in range(70)] + [("z", "q", " ".join(base)), ("variant", "p", " ".join(base[:-1] + ["x"])), ("other", "r", " ".join(["y"] + base[1:]))]
     spark.createDataFrame(data, "point_id string, source_path string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
     assert {tuple(r) for r in QUERIES["p6_found"](spark, str(tmp_path)).collect()} == brute(data, 0.5, 20, 3)
+
+
+def test_a_band_that_many_different_texts_share_is_paired_in_blocks(spark):
+    """90 variants of one text: every band is hot at a block of 16."""
+    base = [f"w{i}" for i in range(60)]
+    data = [(f"k{i:02d}", f"n{i % 9}", " ".join(base[:-1] + [f"x{i}"])) for i in range(90)]
+    df = spark.createDataFrame(data, "key string, owner string, text string")
+    block = nd.BLOCK
+    try:
+        nd.BLOCK = 16
+        rows = [(r["a"], r["b"]) for r in nd.every_pair(*nd.near_duplicates(df, "key", "owner", "text", 0.5, 20, 3)).collect()]
+    finally:
+        nd.BLOCK = block
+    assert len(rows) == len(set(rows)) and set(rows) == brute(data, 0.5, 20, 3)
+
+
+def test_copies_of_two_linked_classes_keep_a_pair_of_every_two_notes(spark):
+    """64 copies in note x and one in another note, in either of two linked classes."""
+    base = [f"w{i}" for i in range(40)]
+    other = " ".join(base[:-1] + ["v"])
+    data = [(f"a{i:02d}", "x", " ".join(base)) for i in range(64)] + [("ay", "y", " ".join(base))] + [(f"b{i:02d}", "x", other) for i in range(64)] + [("bz", "z", other)]
+    df = spark.createDataFrame(data, "key string, owner string, text string")
+    members, links = nd.near_duplicates(df, "key", "owner", "text", 0.5, 20, 3)
+    owner = {k: o for k, o, _ in data}
+    crossing = {(owner[r["a"]], owner[r["b"]]) for r in nd.pairs_of(members, links).collect() if r["a"][0] != r["b"][0]}
+    assert crossing == {("x", "z"), ("y", "x"), ("y", "z")}
+    assert {(r["a"], r["b"]) for r in nd.every_pair(members, links).collect()} == brute(data, 0.5, 20, 3)
