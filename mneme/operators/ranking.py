@@ -41,3 +41,17 @@ def group_rank(df: DataFrame, group: list[str], value: str, rank: str = "rank")
         .join(before, [*group, "__block"])
         .select(*group, value, (F.col("__before") + F.col("__running")).alias(rank))
     )
+
+
+def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with the sum ``out`` of ``value`` over its group's rows up to and with each row, in ``order``.
+
+    No task gets a whole group: rows are range-partitioned by group and order, sums run within the
+    blocks of a group, and the totals of the blocks before (one row per group and partition) are added.
+    """
+    ranged = df.repartitionByRange(F.col(group), *[F.col(c) for c in order])
+    blocks = materialize(ranged.withColumn("__block", F.spark_partition_id()), "blocks")
+    earlier = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.groupBy(group, "__block").agg(F.sum(value).alias("__total")).withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
+    within = F.sum(value).over(Window.partitionBy(group, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return blocks.withColumn(out, within).join(before.drop("__total"), [group, "__block"]).withColumn(out, F.col(out) + F.col("__before")).drop("__before", "__block")

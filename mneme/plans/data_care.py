@@ -25,6 +25,16 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return references.report(_references(spark, d))
 
 
+def p5_history(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per table, month and status, the status by the intervals in which the parent was there."""
+    history = references.vault_history(
+        table(spark, d, "notes", "source_path", "links", "indexed_at"),
+        table(spark, d, "chunks", "point_id", "source_path", "ingested_at"),
+        table(spark, d, "note_feed", "source_path", "op", "seen_at"),
+    )
+    return references.report(history)
+
+
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.run_changes(table(spark, d, "note_feed", *changefeed.FEED), table(spark, d, "ingest_runs"))
 
@@ -37,7 +47,7 @@ def p7_changes(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d)
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_changes": p7_changes}
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_history": p5_history, "p7_found": p7_found, "p7_changes": p7_changes}
 
 _STEM = stem_sql("source_path")
 _TARGET = strip_sql("regexp_extract(link, '^([^#|]*)', 1)")
@@ -69,6 +79,38 @@ with parents as (
     when p.present_from > r.made then 'late' else 'ok' end from chunk_refs r left join by_path p using (key)
 )
 """
+_HISTORY = rf"""
+with seen as (
+  select source_path as path, seen_at, bool_or(op = 'delete') as gone from note_feed where source_path is not null and seen_at is not null and op in ('upsert', 'delete') group by 1, 2
+), turned as (select *, lag(gone) over (partition by path order by seen_at) as before from seen),
+turns as (select *, lead(seen_at) over (partition by path order by seen_at) as next from turned where before is null or before <> gone),
+present as (select source_path as path, min(indexed_at) as valid_from from notes where source_path is not null group by 1),
+intervals as (
+  select path, seen_at as valid_from, next as valid_to from turns where not gone and next is not null
+  union all
+  select t.path, t.seen_at, (select max(s.seen_at) from seen s where s.path = t.path) from turns t where not gone and next is null and t.path not in (select path from present)
+  union all
+  select path, valid_from, null from present
+), keyed as (
+  select 'notes' as tab, {stem_sql('path')} as key, valid_from, valid_to from intervals
+  union all
+  select 'chunks', path, valid_from, valid_to from intervals
+), known as (select tab, key, bool_or(valid_to is null) as present, min(valid_from) as first from keyed group by 1, 2),
+links as (
+  select source_path, indexed_at, {_TARGET} as target
+  from (select source_path, indexed_at, unnest(links) as link from notes)
+), refs as (
+  select 'notes' as tab, source_path, target, min(indexed_at) as made from links where target is not null and target <> '' group by 2, 3
+  union all
+  select 'chunks', source_path, source_path, min(ingested_at) from chunks where source_path is not null group by point_id, source_path
+), placed as (
+  select r.*, k.present, made < k.first as early, exists (
+    select 1 from keyed i where i.tab = r.tab and i.key = r.target and i.valid_from <= r.made and (i.valid_to is null or r.made < i.valid_to)) as inside
+  from refs r left join known k on k.tab = r.tab and k.key = r.target
+)
+select tab, strftime(made, '%Y-%m') as month, case when present is null then 'missing' when present then case when inside then 'ok' when early then 'late' else 'away' end
+  when inside or early then 'deleted' else 'after' end as status, count(*) as n_references, count(distinct target) as n_targets from placed group by all
+"""
 _STATES = """
 with success as (
   select run_no, started_at, row_number() over (order by started_at, run_no) as v from ingest_runs
@@ -86,6 +128,7 @@ ORACLES = {
     "p5_found": _REFS + "select distinct tab, source_path, target from classified where status in ('missing', 'deleted')",
     "p5_report": _REFS
     + "select tab, strftime(made, '%Y-%m') as month, status, count(*) as n_references, count(distinct target) as n_targets from classified group by all",
+    "p5_history": _HISTORY,
     "p7_found": _STATES.replace("{hash}", ""),
     "p7_changes": _STATES.replace("{hash}", ", a.content_hash"),
 }

@@ -103,3 +103,55 @@ def test_unchanged_rows_are_left_alone_on_demand(spark, tmp_path):
     source.commit(df([("a", 1), ("b", 2)]))
     cf.process_new(source, target, step, same=F.col("v"))
     assert seen == [["a", "b"], ["b"]]
+
+
+def test_steps_compaction_and_vacuum(spark, rows, tmp_path):
+    t = table(spark, tmp_path / "t")
+    df = lambda data: spark.createDataFrame(data, "id string, v int")
+    t.commit(df([("a", 1), ("b", 1)]))
+    t.commit(df([("b", 2)]), df([("a", 0)]), note="x")
+    assert t.compact() == 3 and rows(t.read()) == [("b", 2)] and t.manifest(3)["tags"] == {"note": "x"} and t.diff(2, 3) == (None, None)
+    t.append(spark.createDataFrame([("c", 3, "neu")], "id string, v int, w string"))
+    t.commit(None, df([("b", 0), ("fehlt", 0)]))
+    assert rows(t.read()) == [("c", 3, "neu")] and rows(t.read(2)) == [("b", 2)]
+    steps = t.steps(0, 5)
+    assert rows(steps, "version", "change", "id", "v") == [(1, "+", "a", 1), (1, "+", "b", 1), (2, "+", "b", 2), (2, "-", "a", 1), (2, "-", "b", 1), (4, "+", "c", 3), (5, "-", "b", 2)]
+    added, removed = t.diff(1, 5)
+    assert rows(added, "id") == [("c",)] and rows(removed, "id", "v") == [("a", 1), ("b", 1)]
+    assert len(t.vacuum()) > 0 and rows(t.read(), "id") == [("c",)]
+
+
+def test_a_lost_race_is_made_again_on_top(spark, rows, tmp_path, monkeypatch):
+    t, other = table(spark, tmp_path / "t"), table(spark, tmp_path / "t")
+    df = lambda data: spark.createDataFrame(data, "id string, v int")
+    t.commit(df([("a", 1)]))
+    publish, raced = t._publish, []
+
+    def late(*args, **kw):
+        if not raced:
+            raced.append(other.commit(df([("b", 1), ("a", 2)])))
+        return publish(*args, **kw)
+
+    monkeypatch.setattr(t, "_publish", late)
+    assert t.commit(df([("a", 3)])) == 3 and rows(t.read()) == [("a", 3), ("b", 1)]
+    raced.clear()
+    with pytest.raises(FileExistsError):
+        t.commit(df([("a", 4)]), expect=3)
+    assert rows(t.read()) == [("a", 2), ("b", 1)]
+
+
+def test_a_crash_between_write_and_commit_neither_skips_nor_repeats(spark, rows, tmp_path, monkeypatch):
+    """The output is written, the commit never happens; the next run does the same records once."""
+    rng = random.Random(9)
+    feed = [(i, f"n{rng.randrange(12)}", rng.choice(["upsert", "upsert", "delete"]), rng.choice(["aa", "bb"]), None, START + timedelta(minutes=i), START + timedelta(minutes=i), 0) for i in range(200)]
+    runs = [(k, START + timedelta(minutes=40 * k), "success") for k in range(1, 5)]
+    source, target = cf.ManifestTable(spark, str(tmp_path / "s"), "source_path"), cf.ManifestTable(spark, str(tmp_path / "t"), ["version", "source_path"])
+    cf.replay(spark.createDataFrame(feed, FEED), cf.successful_versions(spark.createDataFrame(runs, RUNS)), source)
+    publish = target._publish
+    monkeypatch.setattr(target, "_publish", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        cf.process_steps(source, target, cf.changed_states)
+    assert target.read() is None and list((tmp_path / "t").iterdir())
+    monkeypatch.setattr(target, "_publish", publish)
+    assert cf.process_steps(source, target, cf.changed_states) == 1 and cf.process_steps(source, target, cf.changed_states) is None
+    assert set(rows(target.read(), "version", "source_path")) == brute(feed, runs)

@@ -48,3 +48,23 @@ def test_a_target_of_most_rows(spark):
     refs = rf.note_references(notes)
     out = rf.classify(refs, rf._parents(rf.parent_intervals(notes), rf.file_stem(rf.F.col("path"))))
     assert out.where("status = 'missing'").count() == 2001 and out.where("status = 'ok'").count() == 1
+
+
+def test_references_against_several_intervals(spark):
+    t = lambda day: datetime(2025, 1, day)
+    intervals = [("back", t(3), t(6)), ("back", t(9), None), ("gone", t(2), t(5)), ("gone", t(7), t(8)), ("twin", t(2), t(9)), ("twin", t(4), t(6))]
+    asked = [("back", 2), ("back", 3), ("back", 6), ("back", 8), ("back", 9), ("gone", 1), ("gone", 4), ("gone", 5), ("gone", 7), ("gone", 20), ("twin", 7), ("none", 1), ("back", None), (None, 1)]
+    refs = spark.createDataFrame([(k, None if d is None else t(d), i) for i, (k, d) in enumerate(asked)], "key string, at timestamp, n int")
+    got = rf.classify_intervals(refs, spark.createDataFrame(intervals, "key string, valid_from timestamp, valid_to timestamp"))
+    assert {r["n"]: r["status"] for r in got.collect()} == dict(enumerate(
+        ["late", "ok", "away", "away", "ok", "deleted", "deleted", "after", "deleted", "after", "deleted", "missing", "ok", "missing"]
+    ))
+    none = spark.createDataFrame([], "key string, valid_from timestamp, valid_to timestamp")
+    assert {r["status"] for r in rf.classify_intervals(refs, none).collect()} == {"missing"} and rf.classify_intervals(refs.limit(0), none).count() == 0
+
+
+def test_presence_intervals_follow_the_feed(spark, rows):
+    t = lambda day: datetime(2025, 1, day)
+    feed = spark.createDataFrame([("a", "upsert", t(1)), ("a", "upsert", t(2)), ("a", "delete", t(3)), ("a", "delete", t(4)), ("a", "upsert", t(5)), ("b", "upsert", t(1)), ("b", "upsert", t(6)), ("c", "delete", t(1)), (None, "upsert", t(1)), ("d", "upsert", None)], "source_path string, op string, seen_at timestamp")
+    notes = spark.createDataFrame([("a", t(5)), ("a", t(7)), ("e", t(2))], "source_path string, indexed_at timestamp")
+    assert rows(rf.presence_intervals(notes, feed)) == [("a", t(1), t(3)), ("a", t(5), None), ("b", t(1), t(6)), ("e", t(2), None)]
