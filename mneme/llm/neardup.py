@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mneme.storage import broadcast_if_small, materialize, partitions_for
+from mneme.storage import materialize, partitions_for
 
 BANDS, ROWS = 120, 4
 #: Members that stand for a class of exact copies in the pairs.
@@ -126,13 +126,12 @@ def banded_pairs(signed_rows: DataFrame, bands: int) -> DataFrame:
     entries = signed_rows.where("bands is not null")
     parts = partitions_for(entries.count() * bands, 24, signed_rows.sparkSession.sparkContext.defaultParallelism, 32 << 20)
     spread = entries.select("cls", F.explode("bands").alias("k")).repartition(parts, "k")
-    shared = spread.groupBy("k").agg(F.collect_set("cls").alias("c")).where(F.size("c") > 1)
+    several = spread.groupBy("k").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("k")
+    shared = spread.join(several.hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(F.collect_set("cls").alias("c"))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("c") - 1) / BLOCK).cast("int")), lambda i: F.slice("c", i * BLOCK + 1, BLOCK))
-    split = shared.select(blocks.alias("blocks"))
-    few = split.where(F.size("blocks") == 1).select(F.col("blocks")[0].alias("x"), F.col("blocks")[0].alias("y"))
-    many = split.where(F.size("blocks") > 1).select("blocks", F.posexplode("blocks").alias("i", "x"))
-    many = many.select("x", F.explode(F.expr("slice(blocks, i + 1, size(blocks))")).alias("y")).repartition(parts, F.xxhash64("x", "y"))
-    met = few.unionByName(many).select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).where("x <> y")
+    split = shared.select(blocks.alias("blocks")).select("blocks", F.posexplode("blocks").alias("i", "x"))
+    met = split.select("x", F.explode(F.expr("slice(blocks, i + 1, size(blocks))")).alias("y")).repartition(parts, F.xxhash64("x", "y"))
+    met = met.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).where("x <> y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -146,7 +145,7 @@ def similar_classes(texts: DataFrame, members: DataFrame, signed_rows: DataFrame
         for part, sets in _sets(batches, least_words, run):
             yield pd.DataFrame({"cls": part["cls"].to_numpy(), "items": [s.view(np.int64) for s in sets]})
 
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(broadcast_if_small(first), "key")
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(first, "key")
     sets = rows.mapInPandas(again, "cls long, items array<long>").groupBy("cls").agg(F.first("items").alias("items"))
     sets = materialize(sets, "sets")
     a, b = sets.select(F.col("cls").alias("a"), F.col("items").alias("ia")), sets.select(F.col("cls").alias("b"), F.col("items").alias("ib"))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mneme.storage import materialize
+from mneme.storage import materialize, partitions_for
 
 #: Vectors from which the rotations are learned (about so many, drawn by hash; all others are indexed too).
 SAMPLE = 8192
@@ -108,7 +108,7 @@ def _array_of(column: pd.Series) -> np.ndarray:
 
 
 def index_entries(classes: DataFrame, least: float, tables: int | None = None, bits: int | None = None) -> tuple[DataFrame, int]:
-    """One row ``k, cls, sig`` per class and substring, and the number of classes."""
+    """One row ``k, cls, sig`` per class and substring, in partitions by ``k`` of bounded size, and the number of classes."""
     size = classes.count()
     if not size:
         return classes.select(F.col("cls").alias("k"), "cls", F.col("cls").alias("sig")), 0
@@ -131,7 +131,8 @@ def index_entries(classes: DataFrame, least: float, tables: int | None = None, b
                 yield pd.DataFrame({"k": list(keys), "cls": batch["cls"], "sig": signature})
 
     coded = classes.select("cls", "vec").mapInPandas(codes, "k array<long>, cls long, sig long")
-    return coded.select(F.explode("k").alias("k"), "cls", "sig"), size
+    parts = partitions_for(size * tables, 32, classes.sparkSession.sparkContext.defaultParallelism)
+    return coded.select(F.explode("k").alias("k"), "cls", "sig").repartition(parts, "k"), size
 
 
 def hot_buckets(entries: DataFrame, size: int, most: int = HOT) -> DataFrame | None:

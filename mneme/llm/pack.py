@@ -4,8 +4,10 @@ Items are spread at random over blocks of a fixed number of containers' worth of
 block each container takes the largest item left and, with it, the combination of the others that
 leaves the least slack; which sums can be reached is a bitset (one big integer) that grows by a
 shift for every available length, and the combination is read back from the stages of the bitset.
-Containers that stay open (the last ones of a block) are emptied and their items packed once more in
-fewer blocks, until one block is left, so slack does not grow with the number of blocks.
+Containers that stay open (the last ones of a block) are emptied and their items packed once more, in
+blocks of the same size, so slack does not grow with the number of blocks. That ends once one block
+holds all that is left, or once a round neither fills a tenth of its containers nor saves a hundredth
+of them: items of more than half the capacity, for one, can't be packed any closer.
 
 An item is cut only if it alone exceeds the capacity: into full pieces and a rest, never inside a
 UTF-8 character. Null and empty texts have no tokens: they come out once, without a container.
@@ -30,6 +32,8 @@ CAPACITY = 8192
 BLOCK_CONTAINERS = 512
 #: Containers filled less than this are packed once more.
 CLOSED = 0.995
+#: Least share of a round's containers that it must fill, or save, for another round.
+FILLED, SAVED = 0.1, 0.01
 
 
 def fill(sizes: list[int], capacity: int) -> list[int]:
@@ -112,23 +116,27 @@ def pack(docs: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY
         sized.where((F.col("tokens") > 0) & (F.col("tokens") <= capacity)).select(*plain)
         .unionByName(sized.where(F.col("tokens") > capacity).select(key, "__text").mapInPandas(pieces, schema))
     )
-    closed, level = [], 0
+    closed, level, opened = [], 0, None
     # equal keys are told apart by a number, so that repeated rows keep containers of their own
     waiting = materialize(items.withColumn("__item", F.monotonically_increasing_id()), "items")
     while True:
         total = waiting.agg(F.sum("tokens")).first()[0] or 0
         blocks = max(1, -(-total // (capacity * block_containers)))
         spread = waiting.withColumn("__block", F.pmod(F.xxhash64("__item", F.lit(level)), F.lit(blocks)))
+        if blocks > 1:
+            spread = spread.repartition(blocks, "__block")
 
         done = spread.groupBy("__block").applyInPandas(_block_packer(capacity, level), f"{schema}, __item long, __block long, container string, __filled long")
         done = materialize(done, f"level{level}")
-        if blocks == 1:
+        full = F.col("__filled") >= CLOSED * capacity
+        counted = done.groupBy("container").agg(F.first("__filled").alias("__filled")).agg(F.count_if(full).alias("full"), F.count_if(~full).alias("open")).first()
+        made = counted["full"] + counted["open"]
+        gained = opened is None or opened - made >= SAVED * opened
+        if blocks == 1 or counted["open"] == 0 or not (gained or counted["full"] >= FILLED * made):
             closed.append(done)
             break
-        closed.append(done.where(F.col("__filled") >= CLOSED * capacity))
-        waiting, level = done.where(F.col("__filled") < CLOSED * capacity).select(*waiting.columns), level + 1
-        if level > 1:
-            block_containers *= 2  # the rest shrinks; this makes sure that it ends
+        closed.append(done.where(full))
+        waiting, level, opened = done.where(~full).select(*waiting.columns), level + 1, counted["open"]
     empty = sized.where(F.col("tokens") == 0).select(*plain, F.lit(None).cast("string").alias("container"))
     columns = [key, "piece", "n_pieces", "start_byte", "tokens", "container"]
     for part in closed:

@@ -108,6 +108,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the containers hold everything, none too much, in at most a hundredth more of them than needed: one row."""
+    packed = _packed(spark, d)
+    held = packed.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("t"))
+    items = packed.agg(F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"), F.count_if("n_pieces > 1 and piece = 1").alias("cut"))
+    made = held.agg(F.count_if(F.col("t") > pack.CAPACITY).alias("too_full"), F.sum("t").alias("held"), (F.count(F.lit(1)) <= F.ceil(F.sum("t") / pack.CAPACITY) * 1.01 + 1).alias("close"))
+    return items.crossJoin(made)  # one row each
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).where("n_pieces > 1 and piece = 1").select("doc_id")
 
@@ -156,6 +165,7 @@ QUERIES = {
     "p6_groups": p6_groups,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
+    "p8_totals": p8_totals,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
     "p9_found": p9_found,
@@ -263,5 +273,7 @@ docs as (select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') as
 runs as (select distinct case_id, p[i:i + 49] as run from (select *, unnest(range(1, len(p) - 48)) as i from cases where len(p) >= 50))
 select distinct case_id, doc_id from (select doc_id, t[i:i + 49] as run from (select *, unnest(range(1, len(t) - 48)) as i from docs where len(t) >= 50))
 join runs using (run)""",
+    "p8_totals": """select sum(strlen(coalesce(text, ''))) as tokens, count(distinct doc_id) as documents, count(distinct doc_id) filter (strlen(text) > 8192) as cut,
+  0 as too_full, sum(strlen(coalesce(text, ''))) as held, true as close from documents""",
     "p8_found": "select doc_id from documents where strlen(text) > 8192",
 }

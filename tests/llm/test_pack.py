@@ -63,3 +63,31 @@ def test_edge_cases(spark):
     assert empty.count() == 0
     with pytest.raises(ValueError):
         pk.pack(df, "id", capacity=3)
+
+
+def test_items_that_no_round_can_pack_closer_stay_in_bounded_blocks(spark, monkeypatch):
+    """10^5 items of 0.6 of a container: one container each, and no task gets more than its block."""
+    from pyspark.sql import functions as F
+
+    rounds, make = [], pk.materialize
+
+    def watched(df, name):
+        out = make(df, name)
+        if name.startswith("level"):
+            rounds.append(out.groupBy("__block").agg(F.sum("tokens").alias("t")).agg(F.max("t"), F.count(F.lit(1))).first())
+        return out
+
+    monkeypatch.setattr(pk, "materialize", watched)
+    items = spark.range(100_000).select("id", F.repeat(F.lit("x"), 6).alias("text"))
+    out = pk.pack(items, "id", capacity=10, block_containers=1000)
+    assert out.count() == 100_000 == out.select("container").distinct().count()
+    assert 1 <= len(rounds) <= 3 and all(most <= 1.2 * 10 * 1000 and n >= 60 for most, n in rounds)
+
+
+def test_small_items_fill_up_large_ones_across_blocks(spark):
+    from pyspark.sql import functions as F
+
+    items = spark.range(6000).select("id", F.repeat(F.lit("x"), F.when(F.col("id") < 3000, 60).otherwise(40).cast("int")).alias("text"))
+    out = pk.pack(items, "id", capacity=100, block_containers=50).groupBy("container").agg(F.sum("tokens").alias("t"))
+    r = out.agg(F.count(F.lit(1)), F.max("t"), F.sum("t")).first()
+    assert r[1] == 100 and r[2] == 300_000 and r[0] <= 3000 * 1.01
