@@ -112,7 +112,7 @@ def p8_totals(spark: SparkSession, d: str) -> DataFrame:
     """Whether the containers hold everything, none too much, in at most a hundredth more of them than needed: one row."""
     packed = _packed(spark, d)
     held = packed.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("t"))
-    items = packed.agg(F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"), F.count_if("n_pieces > 1 and piece = 1").alias("cut"))
+    items = packed.agg(F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"), F.count_if(F.expr("n_pieces > 1 and piece = 1")).alias("cut"))
     made = held.agg(F.count_if(F.col("t") > pack.CAPACITY).alias("too_full"), F.sum("t").alias("held"), (F.count(F.lit(1)) <= F.ceil(F.sum("t") / pack.CAPACITY) * 1.01 + 1).alias("close"))
     return items.crossJoin(made)  # one row each
 
