@@ -101,6 +101,16 @@ def passage_text(source: Column, header: Column, text: Column) -> Column:
     return F.concat(head, F.lit("\n\n"), text)
 
 
+#: Fixed value: the form in which a cross-encoder reads a task, a question and a passage.
+PAIR = "<Instruct>: %s\n<Query>: %s\n<Document>: %s"
+INSTRUCTION = "Find the passage of the notes that answers the question"
+
+
+def pair_text(query: Column, passage: Column, instruction: str = INSTRUCTION) -> Column:
+    """One text for a question and a passage, for cross-encoders that take them so."""
+    return F.format_string(PAIR, F.lit(instruction), query, passage)
+
+
 def age_days(since: Column, today: Column) -> Column:
     """Days since an ISO date; null where there is none or it is no date."""
     valid = F.when(since.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(since, "yyyy-MM-dd"))

@@ -79,21 +79,58 @@ def token_vectors(text: str, width: int = 16) -> list[list[float]]:
     return out
 
 
-def encode_all(df: DataFrame, text: Column, encoder: Encoder | None = None) -> DataFrame:
-    """``df`` with ``dense``, ``sparse`` and ``colbert`` of the built-in encoders (dense by ``encoder`` where given)."""
+@dataclass(frozen=True)
+class Encoders:
+    """The three encodings of a text, as one model or three give them; each can be replaced."""
+
+    dense: Encoder = HashingEncoder()
+    sparse: Callable[[str], dict[int, float]] = sparse_weights
+    tokens: Callable[[str], list[list[float]]] = token_vectors
+
+
+def encode_all(df: DataFrame, text: Column, encoder: Encoders | Encoder | None = None) -> DataFrame:
+    """``df`` with ``dense``, ``sparse`` and ``colbert``; built-in encoders where none are given."""
+    models = encoder if isinstance(encoder, Encoders) else Encoders(encoder or HashingEncoder())
 
     @F.pandas_udf("map<int,float>")
     def sparse(texts: pd.Series) -> pd.Series:
-        return texts.map(sparse_weights)
+        return texts.map(models.sparse)
 
     @F.pandas_udf("array<array<float>>")
     def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(token_vectors)
+        return texts.map(models.tokens)
 
-    rows = encode(df.withColumn("__text", text), "__text", encoder or HashingEncoder())
+    rows = encode(df.withColumn("__text", text), "__text", models.dense)
     return rows.withColumn("sparse", sparse("__text")).withColumn("colbert", tokens("__text")).drop("__text")
 
 
+@dataclass(frozen=True)
+class Token:
+    """A token of a long text as one forward pass gives it: place, id, weight and vector."""
+
+    start: int
+    end: int
+    number: int
+    weight: float
+    vector: list[float]
+
+
+class TokenEncoder(Protocol):
+    """All tokens of a text, each in the context of the whole."""
+
+    def __call__(self, text: str) -> list[Token]: ...
+
+
+def word_tokens(text: str, width: int = 16) -> list[Token]:
+    """A stand-in: words, with ids, weights and vectors from their digests, whatever the context."""
+    out = []
+    for m in re.finditer(r"\w+", text.lower()):
+        digest = _digest(m[0])
+        v = np.frombuffer(digest, np.uint8)[:width].astype(float) - 127.5
+        out.append(Token(m.start(), m.end(), int.from_bytes(digest[:3], "big"), digest[3] / 255, v.tolist()))
+    return out
+
+
 class Scorer(Protocol):
     """Relevance in 0..1 of passages for a query, in batches."""
 

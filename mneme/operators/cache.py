@@ -6,11 +6,11 @@ chunks``. Look-ups carry ``lookup_id, sub_query, domain, dense``. No domain is `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mneme.functions import text as tx
-from mneme.functions import vector as vx
+from mneme.operators.retrieval import dense_topn
 
 #: Least similarity of a semantic hit, seconds that an entry lives.
 THRESHOLD, TTL = 0.95, 604_800
@@ -36,7 +36,7 @@ def lookup(lookups: DataFrame, entries: DataFrame, now: Column, threshold: float
     """``lookup_id, cache_id, stage, similarity`` of the hits; an entry without chunks is no hit.
 
     The first stage joins on the normalised query and domain. Only its misses go to the second,
-    which joins on the domain and keeps the most similar entry. Ties go to the smaller entry id.
+    which scans the entries of their domain for the most similar one (a blocked matrix product). Ties go to the smaller entry id.
     """
     usable = live(entries, now, ttl).where(F.size("chunks") > 0)
     asked = lookups.withColumn("domain", _domain(lookups)).withColumn("norm", tx.normalize_query(F.col("sub_query")))
@@ -44,10 +44,11 @@ def lookup(lookups: DataFrame, entries: DataFrame, now: Column, threshold: float
     exact = asked.join(same, ["domain", "norm"]).groupBy("lookup_id").agg(F.min("cache_id").alias("cache_id"))
     exact = exact.select("lookup_id", "cache_id", F.lit("exact").alias("stage"), F.lit(1.0).alias("similarity"))
     missed = asked.join(exact.select("lookup_id"), "lookup_id", "left_anti")
-    near = missed.select("lookup_id", "domain", F.col("dense").alias("q")).join(usable.select("domain", "cache_id", F.col("dense").alias("d")), "domain")
-    near = near.select("lookup_id", "cache_id", F.lit("semantic").alias("stage"), vx.cosine(F.col("q"), F.col("d")).alias("similarity")).where(F.col("similarity") >= threshold)
-    first = F.row_number().over(Window.partitionBy("lookup_id").orderBy(F.round("similarity", 9).desc(), "cache_id"))
-    return exact.unionByName(near.withColumn("n", first).where("n = 1").drop("n"))
+    asking = missed.select(F.xxhash64("lookup_id").alias("query_id"), F.lit(0).alias("sub_idx"), "domain", "dense", "lookup_id")
+    entry = usable.select(F.col("cache_id").alias("point_id"), "domain", "dense")
+    nearest = dense_topn(asking, entry, 1).where(F.col("score") >= threshold)
+    near = nearest.join(asking.select("query_id", "lookup_id"), "query_id")
+    return exact.unionByName(near.select("lookup_id", F.col("point_id").alias("cache_id"), F.lit("semantic").alias("stage"), F.col("score").alias("similarity")))
 
 
 def count_hits(entries: DataFrame, hits: DataFrame) -> DataFrame:

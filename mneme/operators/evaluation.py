@@ -184,6 +184,33 @@ def negative_scores(scored: DataFrame, variant: str = "k10") -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("cases"), F.median("best_score").alias("median"), F.min("best_score").alias("least"), F.max("best_score").alias("most"))
 
 
+#: What each judgement is about, and what it is given.
+TASKS = {
+    "context_relevance": ("Beurteile, ob der Kontext hilft, die Frage zu beantworten.", ("question", "context")),
+    "groundedness": ("Beurteile, ob jede Aussage der Antwort im Kontext steht.", ("context", "answer")),
+    "answer_relevance": ("Beurteile, ob die Antwort auf die Frage eingeht.", ("question", "answer")),
+}
+_NAMES = {"question": "Frage", "context": "Kontext", "answer": "Antwort"}
+
+
+def triad_prompts(question: Column, contexts: Column, answer: Column) -> dict[str, Column]:
+    """One prompt per judgement: the task, its labels, and what is judged, every field made harmless."""
+    numbered = F.transform(contexts, lambda c, i: F.concat(F.lit("[Abschnitt "), (i + 1).cast("string"), F.lit("]\n"), tx.sanitize(c)))
+    given = {"question": tx.sanitize(question), "context": F.array_join(numbered, "\n\n"), "answer": tx.sanitize(answer)}
+    prompts = {}
+    for metric, (task, fields) in TASKS.items():
+        head = f'{task}\nErlaubt sind: {", ".join(LABELS[metric])}.\nAntworte als JSON mit "label" und "begruendung".\n\n=== EINGABE ==='
+        prompts[metric] = F.concat(F.lit(head), *[x for f in fields for x in (F.lit(f"\n\n{_NAMES[f]}:\n"), given[f])], F.lit("\n\n=== BEWERTUNG ==="))
+    return prompts
+
+
+def judge_answers(rows: DataFrame, judge: Judge) -> DataFrame:
+    """``rows`` (question, contexts, answer) judged; where any of the three is empty nothing is asked and the case fails."""
+    whole = (F.coalesce(F.col("question"), F.lit("")) != "") & (F.size("contexts") > 0) & (F.coalesce(F.col("answer"), F.lit("")) != "")
+    judged = judge_cases(rows.where(whole), triad_prompts(F.col("question"), F.col("contexts"), F.col("answer")), judge)
+    return judged.unionByName(rows.where(~F.coalesce(whole, F.lit(False))).withColumn("overall_pass", F.lit(False)), allowMissingColumns=True)
+
+
 def judge_cases(cases: DataFrame, prompts: dict[str, Column], judge: Judge) -> DataFrame:
     """Labels of all three judgements and whether the case passes; ``prompts`` has one prompt per judgement."""
     out = cases

@@ -55,3 +55,17 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: st
     before = blocks.groupBy(group, "__block").agg(F.sum(value).alias("__total")).withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
     within = F.sum(value).over(Window.partitionBy(group, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return blocks.withColumn(out, within).join(before.drop("__total"), [group, "__block"]).withColumn(out, F.col(out) + F.col("__before")).drop("__before", "__block")
+
+
+def row_numbers(df: DataFrame, order: list, out: str) -> DataFrame:
+    """``df`` numbered from 1 in ``order`` (columns or expressions), without bringing all rows into one task.
+
+    Rows are range-partitioned and numbered within their partition; the sizes of the partitions before
+    (one row per partition) are added.
+    """
+    blocks = materialize(df.repartitionByRange(*order).withColumn("__block", F.spark_partition_id()), "numbered")
+    sizes = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__block").orderBy(*order))
+    offsets = F.broadcast(sizes.select("__block", before.alias("__before")))  # one row per partition
+    return blocks.withColumn(out, within).join(offsets, "__block").withColumn(out, (F.col(out) + F.col("__before")).cast("int")).drop("__block", "__before")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mneme.functions import text as tx
 from mneme.functions.stats import nearest_rank, rate
 from mneme.operators.chunking import items_of
+from mneme.operators.ranking import row_numbers
 
 #: Urgency marks in their order; the last band has none.
 BANDS = (("🔴", "DRINGEND"), ("⚠️", "WICHTIG"), ("", "KANN WARTEN"))
@@ -72,10 +73,14 @@ def items_from(texts: DataFrame, note: str, text: str, heading: str, domain: str
 def ordered_items(items: DataFrame, today: Column) -> DataFrame:
     """Open items with their age and ``position``: by urgency, oldest first, undated last, then note and title."""
     band = F.when(F.col("marker") == BANDS[0][0], 0).when(F.col("marker") == BANDS[1][0], 1).otherwise(2)
-    order = Window.orderBy("band", F.asc_nulls_last("since"), "note", "title", "text")
     opened = items.where("not done").withColumn("band", band).withColumn("age_days", tx.age_days(F.col("since"), today))
-    # a report for reading: open items of a vault, numbered in one list
-    return opened.withColumn("position", F.row_number().over(order))
+    return row_numbers(opened, [F.col("band"), F.asc_nulls_last("since"), F.col("note"), F.col("title"), F.col("text")], "position")
+
+
+def band_totals(ordered: DataFrame) -> DataFrame:
+    """Open items, and the undated among them, per band of urgency: ``band, name, open, undated``; bands without items are left out."""
+    name = F.element_at(F.array(*[F.lit(n) for _, n in BANDS]), F.col("band") + 1)
+    return ordered.groupBy("band").agg(F.count(F.lit(1)).alias("open"), F.count_if(F.col("since").isNull()).alias("undated")).withColumn("name", name)
 
 
 def item_totals(items: DataFrame) -> DataFrame:

@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mneme.functions import vector as vx
-from mneme.storage import broadcast_if_small
+from mneme.storage import broadcast_if_small, materialize
 
 #: Candidates per branch, reciprocal-rank constant, least depth factor, cross-encoder pool.
 PREFETCH, RRF_K, LEAST_DEPTH, POOL = 100, 60, 3, 10
 #: Queries that are sent to the tasks at once.
-QUERY_BLOCK = 2000
+QUERY_BLOCK = 20_000
+#: Codes of a query that searches all domains (excludes nothing), and of a point without a domain (an owner).
+ANY, NO_DOMAIN = -1, -2
 KEYS = ["query_id", "sub_idx"]
 
 
@@ -35,44 +37,51 @@ def dense_topn(queries: DataFrame, points: DataFrame, n: int = PREFETCH, exclude
     """``query_id, sub_idx, point_id, score, rank`` by exact cosine within the query's domain.
 
     With ``exclude``, a column of both sides, points that share its value with the query don't count.
+    Domains and excluded values are compared by 64-bit codes. Up to ``QUERY_BLOCK`` queries need one scan
+    of the points, which then do not move: each task keeps its best ``n`` per query.
     """
     spark, schema = points.sparkSession, "query_id long, sub_idx int, point_id string, score double"
+    code = lambda c: F.when(c.isNotNull(), F.xxhash64(c.cast("string")))
     owner = F.col(exclude) if exclude else F.lit(None).cast("string")
-    usable = points.where(vx.norm(F.col("dense")) > 0).select("point_id", "domain", "dense", owner.alias("owner"))
-    asked = queries.where(vx.norm(F.col("dense")) > 0).select(*KEYS, "domain", "dense", owner.alias("owner"))
+    usable = points.where(vx.norm(F.col("dense")) > 0).select("point_id", F.coalesce(code(F.col("domain")), F.lit(NO_DOMAIN)).alias("domain"), F.coalesce(code(owner), F.lit(NO_DOMAIN)).alias("owner"), "dense")
+    asked = queries.where(vx.norm(F.col("dense")) > 0).select(*KEYS, F.coalesce(code(F.col("domain")), F.lit(ANY)).alias("domain"), F.coalesce(code(owner), F.lit(ANY)).alias("owner"), "dense")
+    asked = materialize(asked, "asked")
     blocks = -(-asked.count() // QUERY_BLOCK)
     found = spark.createDataFrame([], schema)
     for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64(*KEYS), F.lit(blocks)) == block).collect()
-        if rows:
-            found = found.unionByName(usable.mapInPandas(_dense_scan(spark, rows, n), schema))
+        rows = asked.where(F.pmod(F.xxhash64(*KEYS), F.lit(blocks)) == block).toArrow()
+        if len(rows):
+            found = found.unionByName(usable.mapInPandas(_dense_scan(spark, rows.to_pandas(), n), schema))
     return top(found, KEYS, n, F.round("score", 9).desc(), F.col("point_id"))
 
 
-def _dense_scan(spark, rows: list, n: int):
-    matrix = np.array([r["dense"] for r in rows], np.float64)
+def _dense_scan(spark, rows: pd.DataFrame, n: int):
+    matrix = np.stack(rows["dense"].to_numpy()).astype(np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    domains = np.array([r["domain"] or "" for r in rows])
-    owners = np.array([r["owner"] or "" for r in rows])
-    shared = spark.sparkContext.broadcast((matrix, domains, owners, np.array([r["query_id"] for r in rows]), np.array([r["sub_idx"] for r in rows])))
+    shared = spark.sparkContext.broadcast((matrix, *[rows[c].to_numpy() for c in ("domain", "owner", *KEYS)]))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matrix, domains, owners, ids, subs = shared.value
+        bound, excluding = domains != ANY, bool((owners != ANY).any())
         for batch in batches:
             if not len(batch):
                 continue
             x = np.stack(batch["dense"].to_numpy()).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            own, names, theirs = batch["domain"].fillna("\x01").to_numpy(str), batch["point_id"].to_numpy(), batch["owner"].fillna("\x01").to_numpy(str)
-            for at in range(0, len(matrix), 256):
-                s = matrix[at : at + 256] @ x.T
-                s[(domains[at : at + 256, None] != "") & (domains[at : at + 256, None] != own[None, :])] = -np.inf
-                s[owners[at : at + 256, None] == theirs[None, :]] = -np.inf
+            own, names, theirs = batch["domain"].to_numpy(), batch["point_id"].to_numpy(), batch["owner"].to_numpy()
+            # queries whose domain no row of the batch has need no product
+            alive = np.flatnonzero(~bound | np.isin(domains, np.unique(own)))
+            for at in range(0, len(alive), 256):
+                part = alive[at : at + 256]
+                s = matrix[part] @ x.T
+                if bound[part].any():
+                    s[bound[part, None] & (domains[part, None] != own[None, :])] = -np.inf
+                if excluding:
+                    s[owners[part, None] == theirs[None, :]] = -np.inf
                 k = min(n, s.shape[1])
-                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                edge = np.take_along_axis(s, best, 1).min(1)
+                edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                 i, j = np.nonzero((s >= edge[:, None]) & np.isfinite(s))  # all that tie with the last one, so ties stay exact
-                yield pd.DataFrame({"query_id": ids[at + i], "sub_idx": subs[at + i], "point_id": names[j], "score": s[i, j]})
+                yield pd.DataFrame({"query_id": ids[part[i]], "sub_idx": subs[part[i]], "point_id": names[j], "score": s[i, j]})
 
     return scan
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mneme.plans import data_care, indexing, reporting, searching, texts
+from mneme.plans import data_care, details, indexing, reporting, searching, texts
 
-_MODULES = (data_care, texts, indexing, searching, reporting)
+_MODULES = (data_care, texts, indexing, searching, reporting, details)
 FLAGSHIP = "search_batch"
 
 

@@ -69,6 +69,12 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if taken <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for costly Python: only a scan of few or small files is shuffled for that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def partitions_for(rows: int, row_bytes: int, least: int = 1, each: int = 64 << 20) -> int:
     """Partitions of about ``each`` bytes, so that what one task reads does not grow with the data."""
     return max(least, -(-rows * row_bytes // each))

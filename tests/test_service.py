@@ -106,3 +106,70 @@ def test_a_chunk_with_too_many_words_is_refused(spark):
         embedded = embedded.withColumn(name, F.lit(None).cast(kind))
     with pytest.raises(Exception, match="chunk too large"):
         index.build_points(embedded, F.col("source"), F.lit("d"), F.lit("r"), F.lit("h")).collect()
+
+
+def test_decomposed_questions_are_fused_and_counted(vault):
+    v, notes = vault
+    v.ingest(str(notes))
+    parts = Vault(v.spark, v.root, generator=lambda prompts: ['Gern: ["Wasser für die Heizung", "Tomaten im Garten"]' if "Heizung und Garten" in p else "weiß nicht" for p in prompts])
+    hits = parts.search([("Heizung und Garten", None), ("Server Daten", None)], top_k=2, decompose=True).collect()
+    fused = sorted((r["rank"], r["source"].rsplit("/", 1)[1], r["score"]) for r in hits if r["query_id"] == 0)
+    assert {s for _, s, _ in fused} == {"heizung.md", "garten.md"} and all(0 < score < 0.06 for *_, score in fused)
+    single = next(r for r in hits if r["query_id"] == 1 and r["rank"] == 1)
+    assert single["source"].endswith("server.md") and single["score"] > 0.5
+    # the sub-questions are in the cache now; their uses are counted
+    again = v.search([("Wasser für die Heizung", None)], top_k=2).collect()
+    assert all(r["cache_hit"] for r in again)
+    s = v.stats().first()
+    assert s["cached_results"] == 4 and s["cache_uses"] == 1 and s["searches"] == 3
+
+
+def test_deleting_a_note_forgets_the_results_that_may_hold_it(vault):
+    v, notes = vault
+    v.ingest(str(notes))
+    v.search([("Wasser", "haus"), ("Tomaten", "garten"), ("Daten", None)], top_k=1)
+    assert v.stats().first()["cached_results"] == 3
+    v.delete(v.notes("haus").first()["source_path"])
+    assert {r["domain"] for r in v._cache.read().collect()} == {"garten"}
+    v.maintain()
+    assert v.notes().count() == 2 and v.stats().first()["cached_results"] == 1
+
+
+def test_pdf_files_and_late_chunks(vault, tmp_path):
+    v, _ = vault
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "plan.pdf").write_bytes(b"# Plan\nDas Fundament steht.\n## Dach\nZiegel fehlen.")
+    (tmp_path / "pdf" / "leer.pdf").write_bytes(b"kaputt")
+    with pytest.raises(ValueError):
+        v.ingest_pdfs(str(tmp_path / "pdf"), "bau")
+
+    def parser(content):
+        if content == b"kaputt":
+            raise OSError("no pages")
+        return content.decode()
+
+    read = Vault(v.spark, v.root, pdf_parser=parser, late=models.word_tokens)
+    assert statuses(read.ingest_pdfs(str(tmp_path / "pdf"), "bau")) == {"plan.pdf": "indexed", "leer.pdf": "error"}
+    assert statuses(read.ingest_pdfs(str(tmp_path / "pdf"), "bau")) == {"plan.pdf": "unchanged", "leer.pdf": "error"}
+    points = read.points().collect()
+    (roof,) = [r for r in points if r["header"] == "Dach"]  # read with its heading line: Plan › Dach, Dach, Ziegel fehlen
+    assert {r["header"] for r in points} == {"Plan", "Dach"} and (len(roof["dense"]), len(roof["colbert"]), len(roof["sparse"])) == (16, 5, 4)
+
+
+def test_a_gold_set_is_searched_and_judged(vault):
+    v, notes = vault
+    v.ingest(str(notes))
+    rows = [("g1", "faktisch", "Was braucht die Heizung an Wasser?", [("heizung", "neues Wasser")], ["garten"]), ("g2", "negativ", "Mars?", [], [])]
+    cases = v.spark.createDataFrame(rows, schemas.GOLD_CASE)
+    scored = {(r["variant"], r["case_id"]): r for r in v.evaluate(cases).collect()}
+    assert scored["k5", "g1"]["passage_rank"] == 1 and scored["k5", "g1"]["coverage"] == 1.0 and scored["k10", "g1"]["leaks"] == ["garten"]
+    assert "| k10 |" in evaluation.report_text(evaluation.summarize(v.evaluate(cases)))
+    seen = []
+
+    def judge(prompts):
+        return ['{"label": "relevant"}' if "Frage hilft" in p or "ob der Kontext" in p else "[VOLLSTÄNDIG_BELEGT]" if "jede Aussage" in p else "[BEANTWORTET]" for p in prompts]
+
+    judged = {r["case_id"]: r for r in v.judge(cases, judge).collect()}
+    assert judged["g1"]["overall_pass"] and judged["g1"]["groundedness"] == "VOLLSTÄNDIG_BELEGT" and seen == []
+    empty = v.spark.createDataFrame([("e", "", ["x"], "a"), ("f", "q", [], "a")], "case_id string, question string, contexts array<string>, answer string")
+    assert [r["overall_pass"] for r in evaluation.judge_answers(empty, judge).collect()] == [False, False]
