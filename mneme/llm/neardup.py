@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mneme.storage import materialize, partitions_for
+from mneme.storage import materialize, partitions_for, spread
 
 BANDS, ROWS = 120, 4
 #: Members that stand for a class of exact copies in the pairs.
@@ -118,7 +118,7 @@ def signed(texts: DataFrame, key: str, owner: str, text: str, least_words: int,
     rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(text).alias("text")
     )
-    return materialize(rows.mapInPandas(sign, f"key {kind}, owner {owner_kind}, cls long, bands array<long>"), "signed")
+    return materialize(spread(rows).mapInPandas(sign, f"key {kind}, owner {owner_kind}, cls long, bands array<long>"), "signed")
 
 
 def banded_pairs(signed_rows: DataFrame, bands: int) -> DataFrame:

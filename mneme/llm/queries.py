@@ -242,7 +242,14 @@ least as (select x, min(point_id) as "group" from reach join members on cls = y
 degree as (select x, count(*) as n from edges group by 1)
 select point_id, source_path, "group", coalesce(n, 0) as n_links from members join least l on l.x = cls left join degree d on d.x = cls
 """
-_TAG = "|".join(sorted(markup._TAGS, key=len, reverse=True))
+# fixed values: the elements of HTML, longer names first where one begins with another
+_TAG = (
+    "abbr|acronym|address|applet|area|article|aside|audio|a|basefont|base|bdi|bdo|big|blink|blockquote|body|br|button|b|canvas|caption|center|cite|code|colgroup|col|"
+    "datalist|data|dd|del|details|dfn|dialog|dir|div|dl|dt|embed|em|fieldset|figcaption|figure|font|footer|form|frameset|frame|h1|h2|h3|h4|h5|h6|header|head|hgroup|hr|html|"
+    "iframe|img|input|ins|i|kbd|label|legend|link|li|main|map|mark|marquee|math|menu|meta|meter|nav|nobr|noframes|noscript|object|ol|optgroup|option|output|param|picture|pre|"
+    "progress|p|q|rp|rt|ruby|samp|script|section|select|small|source|span|strike|strong|style|sub|summary|sup|svg|s|table|tbody|td|template|textarea|tfoot|thead|th|time|title|"
+    "track|tr|tt|ul|u|var|video|wbr"
+)
 _MARKUP = rf"""
 with plain as (
   select point_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)(<(?:pre|code)[^<>]*>)[^<]*', '\1', 'g'), '`+[^`\n]+`+', ' ', 'g'), '[A-Za-z]:\\[^\s<>|"]*', ' ', 'g') as t from (

@@ -49,17 +49,14 @@ def aggregate_ranks(scored: DataFrame, group: str, key: str, scores: list[str],
         picked.groupBy(group, key).agg(F.max(order).alias("__s")).select(group, key, *[F.col(f"__s.{s}").alias(s) for s in scores]),
         "scores",
     )
-    long = items.select(
-        group, F.explode(F.array(*[F.struct(F.lit(i).alias("list"), F.col(s).alias("score")) for i, s in enumerate(scores)])).alias("x")
-    ).select(group, "x.list", "x.score")
-    ranks = group_rank(long, [group, "list"], "score")
+    lists = [F.struct(F.lit(i).alias("list"), F.when(~F.isnan(s), F.col(s)).alias("score")) for i, s in enumerate(scores)]
+    long = items.select(group, key, F.explode(F.array(*lists)).alias("x")).select(group, key, "x.list", "x.score")
+    # all lists in one pass, back to their items in one join
+    placed = long.join(group_rank(long, [group, "list"], "score"), [group, "list", "score"], "left")
+    ranks = placed.groupBy(group, key).agg(*[F.max(F.when(F.col("list") == i, F.col("rank"))).alias(f"__rank{i}") for i in range(len(scores))])
     sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    out = items.join(sizes, group)
-    for i, s in enumerate(scores):
-        mine = ranks.where(F.col("list") == i).select(group, F.col("score").alias(s), F.col("rank").alias(f"__rank{i}"))
-        out = out.join(mine, [group, s], "left")
     normal = [F.coalesce(F.col(f"__rank{i}") / F.col("__size"), F.lit(1.0)) for i in range(len(scores))]
-    return out.select(
+    return ranks.join(sizes, group).select(
         group, key, *[n.alias(f"r_{s}") for n, s in zip(normal, scores)],
         significance(normal).alias("rho"), (sum(normal[1:], normal[0]) / len(normal)).alias("mean_rank"),
     )

@@ -8,7 +8,10 @@ digits, spaces and closing signs. The counts cover the whole corpus; they live i
 counters, so their size is fixed. The model is trained here, without hand-made labels, on reliable
 boundaries: marks at the end of a paragraph are boundaries (followed, for the features, by the first
 token of the next paragraph), marks before a comma, before a lower-case word that starts no
-paragraphs, and between tokens that often stand so and never end (or start) a paragraph are none. At most about ``TRAIN_DOCUMENTS`` documents, drawn by hash, give training rows.
+paragraphs, and between tokens that often stand so and never end (or start) a paragraph are none. About ``TRAIN_DOCUMENTS`` documents, drawn by hash, give training rows, each of them about ``TRAIN_ROWS`` at most (of longer ones, paragraphs are drawn by hash).
+
+Every text is scanned once: counters and candidates, each with its place and the few signs that decide
+it, are written together. The decisions are then made per distinct combination of signs.
 
 A blank line always ends a sentence, and so does the end of the text; in Markdown (``blocks``)
 headings, list items, table rows and quotes do, too, and fenced code is one unit. Null, empty and
@@ -25,6 +28,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,8 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mneme.storage import materialize, spread
+
 #: Hashed counters per statistic, hashed feature weights, documents that give training rows.
-SLOTS, WEIGHTS, TRAIN_DOCUMENTS = 1 << 19, 1 << 16, 4000
+SLOTS, WEIGHTS, TRAIN_DOCUMENTS, TRAIN_ROWS = 1 << 19, 1 << 16, 4000, 500
 #: Occurrences from which a token's own rate is trusted, where a third of all marks end a paragraph.
 FREQUENT = 8
 #: Expected ends (starts) of a paragraph from which a token that has none is a reliable non-boundary.
@@ -43,14 +49,15 @@ PACKED = 1 << 15
 #: Stands for all tokens in the counters.
 _ANY = "\0"
 
-_MARK = re.compile(r"[.!?…。！？｡।॥؟۔]+")
+#: Marks that end a sentence: Latin, Chinese and Japanese, Indic, Arabic, Armenian, Ethiopic, Burmese, Khmer, Tibetan, Sinhala.
+_MARKS = ".!?…。！？｡।॥؟۔։።፧፨။។៕།༎෴"
+_MARK = re.compile(f"[{_MARKS}]+")
 _BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
 _MARKDOWN = re.compile(r"^[ \t]*(?:#{1,6}[ \t]|[-*+][ \t]|\d{1,3}[.)][ \t]|>|\|)", re.M)
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
-_OUT = r"\s.,;:!?…。！？｡।॥؟۔،؛()\[\]{}\"'“”„‚‘’«»‹›「」『』（）、，；：/*_|<>"
+_OUT = r"\s.,;:!?…。！？｡।॥؟۔։።፧፨။។៕།༎෴،؛()\[\]{}\"'“”„‚‘’«»‹›「」『』（）、，；：/*_|<>"
 _TOKEN = re.compile(rf"[{_CJK}]|[^{_OUT}{_CJK}]+")
-_LAST = re.compile(rf"([{_CJK}]|[^{_OUT}{_CJK}]+)$")
 _OPENING = "\"'“„‚‘«‹「『（([{¿¡*_"
 _CLOSING = "\"'”’»›」』）)]}“‘«*_"
 _PAIRS = {"“": "„", "‘": "‚", "«": "»"}
@@ -146,6 +153,29 @@ def _class(ch: str) -> str:
     return "letter" if unicodedata.category(ch)[0] == "M" else "sign"
 
 
+def last_token(text: str) -> str:
+    """The token at the very end of ``text``, found backwards; empty if there is none."""
+    found = _TOKEN.match(text[::-1])
+    return found[0][::-1] if found else ""
+
+
+class Signs(NamedTuple):
+    """What decides a candidate, apart from the counters."""
+
+    mark: str
+    key: str
+    wider: str
+    next: str
+    next_class: str
+    gap: str
+    closed: str
+    shape: str
+
+
+#: Between the fields of signs that are written as one text.
+_FIELD = "\x1f"
+
+
 class Candidate:
     """A possible boundary: ``end`` is the position behind its closing signs."""
 
@@ -154,16 +184,13 @@ class Candidate:
     def __init__(self, text: str, start: int, stop: int, match: re.Match, end: int) -> None:
         self.end, self.mark = end, _mark(match[0])
         before = text[max(start, match.start() - 48) : match.start()]
-        last = before.rsplit(None, 1)[-1] if before and not before[-1].isspace() else ""
-        found = _LAST.search(last)
-        self.token = found[1] if found else ""
+        self.token = last_token(before)
         head = before[: len(before) - len(self.token)].rstrip()
         self.wider = f"D{min(len(self.token), 5)}" if self.token.isdigit() else f"{self.token}|"
         if self.mark != ".":
             self.key = self.wider = self.mark
         elif self.token.isdigit():
-            word = _LAST.search(head.rstrip("."))
-            self.key = f"D{min(len(self.token), 5)}|{word[1] if word else head[-1:]}"
+            self.key = f"D{min(len(self.token), 5)}|{last_token(head.rstrip('.')) or head[-1:]}"
         else:
             kind = "dot" if head[-1:] == "." else "num" if head[-1:].isdigit() else "word"
             self.key = f"{self.token}|{kind}"
@@ -173,6 +200,15 @@ class Candidate:
         self.gap = "space" if rest else "none"
         self.look(text, self.start_of_next, stop)
 
+    @property
+    def shape(self) -> str:
+        return _shape(self.token)
+
+    def signs(self) -> str:
+        """The fields of :class:`Signs` as one text."""
+        following = self.next if self.next != _FIELD else " "
+        return _FIELD.join((self.mark, self.key, self.wider, following, self.next_class, self.gap, self.closed, _shape(self.token)))
+
     def look(self, text: str, at: int, stop: int) -> None:
         """Take what stands at ``at`` as the token behind."""
         self.next_class = _class(text[at]) if at < stop else "end"
@@ -205,6 +241,21 @@ def candidates(text: str, start: int, stop: int) -> Iterator[Candidate]:
         yield Candidate(text, start, stop, match, end)
 
 
+class Span(NamedTuple):
+    """A paragraph with its candidates; code is one unit, whatever it holds."""
+
+    start: int
+    stop: int
+    code: bool
+    found: list[Candidate]
+
+
+def scan(text: str, markdown: bool) -> list[Span]:
+    """All paragraphs of a text with their candidates."""
+    fenced = {m.start() + i for m in _FENCE.finditer(text) for i in range(8)} if markdown else set()
+    return [Span(start, stop, start in fenced, list(candidates(text, start, stop))) for start, stop in paragraphs(text, markdown)]
+
+
 class Statistics:
     """Hashed counters: marks after a token, of these at a paragraph's end; tokens, of these at its start."""
 
@@ -213,19 +264,20 @@ class Statistics:
         self._known: dict = {}
         self._pending = (Counter(), Counter(), Counter(), Counter())
 
-    def add(self, text: str, markdown: bool) -> None:
-        found = self._pending
+    def add(self, text: str, markdown: bool) -> list[Span]:
+        """Count a text; gives its scan."""
+        found, spans = self._pending, scan(text, markdown)
         found[2].update(_TOKEN.findall(text))
         marks: list[str] = []
         ends: list[str] = []
-        for start, stop in paragraphs(text, markdown):
+        for start, stop, _, inside in spans:
             at = start
             while at < stop and (text[at] in _OPENING or text[at] in " #\u00a0\u3000"):
                 at += 1
             first = _TOKEN.match(text, at, stop)
             if first:
                 found[3][first[0]] += 1
-            for c in candidates(text, start, stop):
+            for c in inside:
                 keys = (_ANY, c.key) if c.key == c.wider else (_ANY, c.key, c.wider)
                 marks += keys
                 if c.end >= stop:
@@ -234,6 +286,7 @@ class Statistics:
         found[1].update(ends)
         if len(found[2]) > 200_000:
             self.flush()
+        return spans
 
     def flush(self) -> None:
         """Bring what was added into the counters."""
@@ -314,12 +367,12 @@ def _shape(token: str) -> str:
     return kind + str(min(len(token), 5))
 
 
-def features(c: Candidate, ends: str, starts: str) -> list[str]:
+def features(c: Candidate | Signs, ends: str, starts: str) -> list[str]:
     behind = c.next_class
     return [
         "bias", f"mark={c.mark}", f"ends={ends}", f"starts={starts}", f"next={behind}", f"gap={c.gap}|{behind}", f"ends={ends}|next={behind}",
-        f"starts={starts}|next={behind}", f"ends={ends}|starts={starts}", f"shape={_shape(c.token)}", f"closed={c.closed}|next={behind}",
-        f"closed={c.closed}|starts={starts}", f"mark={c.mark}|next={behind}", f"mark={c.mark}|gap={c.gap}", f"shape={_shape(c.token)}|ends={ends}",
+        f"starts={starts}|next={behind}", f"ends={ends}|starts={starts}", f"shape={c.shape}", f"closed={c.closed}|next={behind}",
+        f"closed={c.closed}|starts={starts}", f"mark={c.mark}|next={behind}", f"mark={c.mark}|gap={c.gap}", f"shape={c.shape}|ends={ends}",
     ]
 
 
@@ -352,13 +405,16 @@ def label(c: Candidate, stats: Statistics) -> bool | None:
 
 def examples(text: str, markdown: bool, stats: Statistics) -> Iterator[tuple[bool, list[int]]]:
     """Labelled feature rows; every row's own counts are taken out of its statistics."""
-    spans = list(paragraphs(text, markdown))
-    for k, (start, stop) in enumerate(spans):
-        for c in candidates(text, start, stop):
+    spans = scan(text, markdown)
+    drawn = TRAIN_ROWS / max(TRAIN_ROWS, sum(len(s.found) for s in spans))
+    for k, (start, stop, _, found) in enumerate(spans):
+        if drawn < 1 and xxhash.xxh3_64_intdigest(text[start:stop]) / 2**64 >= drawn:
+            continue
+        for c in found:
             if c.end >= stop:
                 if k + 1 == len(spans):
                     continue
-                c.look(text, *spans[k + 1])
+                c.look(text, spans[k + 1].start, spans[k + 1].stop)
                 closing = c.mark in "。！？｡"
                 c.gap = "none" if closing or xxhash.xxh3_64_intdigest(f"{c.key} {c.next}") % 8 == 0 else "space"
                 yield True, [_feature(f) for f in features(c, stats.ends(c, (1, 1)), stats.starts(c, (1, 1)))]
@@ -380,35 +436,63 @@ def train(y: np.ndarray, x: np.ndarray, rounds: int = 200, pull: float = 0.5) ->
     return w
 
 
-def ends_here(c: Candidate, stats: Statistics, weights: np.ndarray) -> bool:
-    """The model's decision; candidates with the same features are decided once."""
-    ends, starts, shape = stats.ends(c), stats.starts(c), _shape(c.token)
-    key = (c.mark, ends, starts, c.next_class, c.gap, c.closed, shape)
-    return stats.remembered(key, lambda: bool(weights[[_feature(f) for f in features(c, ends, starts)]].sum() > 0))
+def ends_here(c: Candidate | Signs, stats: Statistics, weights: np.ndarray) -> bool:
+    """The model's decision."""
+    return bool(weights[[_feature(f) for f in features(c, stats.ends(c), stats.starts(c))]].sum() > 0)
 
 
 def boundaries(text: str, markdown: bool, stats: Statistics, weights: np.ndarray) -> list[tuple[int, int]]:
     """Sentences of ``text`` as start and end."""
     out = []
-    fenced = {m.start() + i for m in _FENCE.finditer(text) for i in range(8)} if markdown else set()
-    for start, stop in paragraphs(text, markdown):
+    for start, stop, code, found in scan(text, markdown):
         at = start
-        if start not in fenced:
-            for c in candidates(text, start, stop):
-                if c.end < stop and c.end > at and ends_here(c, stats, weights):
-                    out.append((at, c.end))
-                    at = c.start_of_next
+        for c in [] if code else found:
+            if at < c.end < stop and ends_here(c, stats, weights):
+                out.append((at, c.end))
+                at = c.start_of_next
         if at < stop:
             out.append((at, stop))
     return out
 
 
-def _rows(docs: DataFrame, key: str, text: str, blocks: Column) -> DataFrame:
+def _rows(docs: DataFrame, key: str, text: str, blocks: Column, wanted: Column) -> DataFrame:
     return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(blocks, F.lit(False)).alias("md")
+        F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(blocks, F.lit(False)).alias("md"), wanted.alias("wanted")
     )
 
 
+#: One row per document (its paragraphs as start, stop and number of candidates; places and signs of these), and some rows of counters per task.
+_SCAN = "paragraphs array<int>, ends array<int>, nexts array<int>, signs array<string>, slot array<long>, n array<long>"
+
+
+def scanned(rows: DataFrame, with_text: bool) -> DataFrame:
+    """What one pass over the texts gives (``_SCAN``, with key ``k`` and text ``t`` on demand); candidates of documents that are not ``wanted`` are only counted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stats, seen = Statistics(), 0
+        for batch in batches:
+            made = []
+            for name, whole, md, wanted in zip(batch["k"], batch["t"], batch["md"], batch["wanted"]):
+                spans = stats.add(whole, md)
+                seen += 1
+                if wanted:
+                    inside = [[c for c in s.found if c.end < s.stop] if not s.code else [] for s in spans]
+                    flat = [c for found in inside for c in found]
+                    made.append((
+                        name, whole if with_text else None, [x for s, found in zip(spans, inside) for x in (s.start, s.stop, len(found))],
+                        [c.end for c in flat], [c.start_of_next for c in flat], [c.signs() for c in flat], None, None,
+                    ))
+            yield pd.DataFrame(made, columns=names)
+        stats.flush()
+        yield pd.DataFrame([(None,) * 6 + ([-1], [seen])], columns=names)
+        for which, row in enumerate(stats.counts):
+            slot = np.flatnonzero(row)
+            yield pd.DataFrame([(None,) * 6 + (slot + which * SLOTS, row[slot])], columns=names)
+
+    names = ["k", "t", *[f.split()[0] for f in _SCAN.split(", ")]]
+    return materialize(spread(rows).mapInPandas(run, f"k {dict(rows.dtypes)['k']}, t string, {_SCAN}"), "scanned")
+
+
 def _packed(rows: pd.DataFrame) -> pd.DataFrame:
     """A block of counters as bytes; block -1 has the number of documents."""
     block = int(rows["slot"].iloc[0] // PACKED)
@@ -419,21 +503,9 @@ def _packed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [block], "data": [data.tobytes()]})
 
 
-def learn(docs: DataFrame, key: str, text: str, blocks: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Counters over all documents and the weights trained on reliable boundaries."""
-    rows = _rows(docs, key, text, blocks)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stats, n = Statistics(), 0
-        for batch in batches:
-            for whole, md in zip(batch["t"], batch["md"]):
-                stats.add(whole, md)
-                n += 1
-        stats.flush()
-        which, slot = np.nonzero(stats.counts)
-        yield pd.DataFrame({"slot": np.append(which * SLOTS + slot, -1), "n": np.append(stats.counts[which, slot], n)})
-
-    counted = rows.mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+def learn(rows: DataFrame, found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counters over all documents ``rows`` (k, t, md), scanned to ``found``, and the weights trained on reliable boundaries."""
+    counted = found.where("slot is not null").select(F.explode(F.arrays_zip("slot", "n")).alias("x")).groupBy("x.slot").agg(F.sum("x.n").alias("n"))
     blocks = counted.groupBy(F.floor(F.col("slot") / PACKED).alias("block")).applyInPandas(_packed, "block long, data binary").collect()
     counts, total = np.zeros(4 * SLOTS, np.int32), 0
     for r in blocks:
@@ -442,7 +514,7 @@ def learn(docs: DataFrame, key: str, text: str, blocks: Column) -> tuple[np.ndar
         else:
             counts[r["block"] * PACKED : (r["block"] + 1) * PACKED] = np.frombuffer(r["data"], np.int32)
     counts = counts.reshape(4, SLOTS)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stats = Statistics(shared.value)
@@ -467,21 +539,41 @@ def sentences(docs: DataFrame, key: str, text: str = "text", blocks: Column | No
     ``blocks`` says which documents are Markdown; none by default. The model learns from all
     documents; with ``only``, sentences of the documents where it holds come out.
     """
-    blocks = F.lit(False) if blocks is None else blocks
-    counts, weights = learn(docs, key, text, blocks)
-    shared = docs.sparkSession.sparkContext.broadcast((counts, weights))
+    wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    rows = _rows(docs.withColumn("__wanted", wanted), key, text, F.lit(False) if blocks is None else blocks, F.col("__wanted"))
+    found = scanned(rows, with_text)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(rows, found))
     names = ["key", "sentence_no", "start_char", "end_char", *["sentence"] * with_text]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, weights = shared.value
-        stats = Statistics(counts)
+        stats, known = Statistics(counts), {}
         for batch in batches:
-            rows = []
-            for name, whole, md in zip(batch["k"], batch["t"], batch["md"]):
-                found = boundaries(whole, md, stats, weights)
-                rows += [(name, i + 1, a, b, whole[a:b])[: len(names)] for i, (a, b) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=names)
+            if not len(batch):
+                continue
+            if len(known) > 500_000:
+                known.clear()
+            codes, signs = pd.factorize(np.concatenate(batch["signs"].to_numpy()))
+            for one in signs:
+                if one not in known:
+                    known[one] = ends_here(Signs(*one.split(_FIELD)), stats, weights)
+            here = np.array([known[one] for one in signs], bool)[codes].tolist() if len(signs) else []
+            made, done = [], 0
+            for name, whole, spans, ends, nexts in zip(batch["k"], batch["t"], batch["paragraphs"], batch["ends"], batch["nexts"]):
+                spans, ends, nexts, base, number = spans.tolist(), ends.tolist(), nexts.tolist(), done, 0
+                for start, stop, n in zip(spans[::3], spans[1::3], spans[2::3]):
+                    at = start
+                    for i in range(done - base, done - base + n):
+                        if here[base + i] and ends[i] > at:
+                            number += 1
+                            made.append((name, number, at, ends[i], whole and whole[at : ends[i]])[: len(names)])
+                            at = nexts[i]
+                    done += n
+                    if at < stop:
+                        number += 1
+                        made.append((name, number, at, stop, whole and whole[at:stop])[: len(names)])
+            yield pd.DataFrame(made, columns=names)
 
-    rows = _rows(docs if only is None else docs.where(only), key, text, blocks)
     schema = f"key {dict(docs.dtypes)[key]}, sentence_no int, start_char int, end_char int" + ", sentence string" * with_text
-    return rows.mapInPandas(cut, schema).withColumnRenamed("key", key)
+    picked = found.where("paragraphs is not null").select("k", "t", "paragraphs", "ends", "nexts", "signs")
+    return picked.mapInPandas(cut, schema).withColumnRenamed("key", key)

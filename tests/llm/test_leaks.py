@@ -77,3 +77,41 @@ def test_common_subsequence():
     for _ in range(100):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(2))
         assert lk.common_subsequence(a, b) == slow(a, b)
+
+
+def test_every_planted_paraphrase_is_found(spark):
+    """Every sixth word is replaced, so no run of 50 characters stays; a changed figure makes it another passage."""
+    rng = random.Random(11)
+    cases, docs, want = [], [], set()
+    for i in range(40):
+        w = words(rng, 16).split()
+        cases.append((f"g{i:02d}", " ".join(w[:8] + [f"{300 + i} Stück"] + w[8:])))
+        changed = [words(rng, 1) if k % 5 == 4 else x for k, x in enumerate(w)]
+        docs.append((i, words(rng, rng.randint(0, 60)) + " " + " ".join(changed[:8] + [f"{300 + i} Stück"] + changed[8:]) + " " + words(rng, 40)))
+        near = lk.normal(" ".join(changed[:8] + [f"{300 + i} Stück"] + changed[8:]))
+        passage = lk.normal(cases[-1][1])
+        if lk.common_subsequence(passage, near) >= lk.SUBSEQUENCE * len(passage):
+            want.add((f"g{i:02d}", i))
+        docs.append((100 + i, words(rng, 30) + " " + " ".join(changed[:8] + [f"{900 + i} Stück"] + changed[8:]) + " " + words(rng, 30)))
+    docs += [(200 + i, words(rng, 300)) for i in range(100)]
+    d, c = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(cases, "c string, p string")
+    out = lk.leaks(d, "id", "text", c, "c", "p").collect()
+    assert len(want) >= 35 and {(r["case"], r["key"]) for r in out} == want and {r["kind"] for r in out} == {"paraphrase"}
+    assert brute(docs, cases) == set()
+
+
+def test_figures_are_compared_as_numbers():
+    assert lk.figures_in("a007b12c3") == {"7", "12", "3"} and lk.figures_in("x000") == {"0"} and lk.figures_in("") == set()
+
+
+def test_many_groups_of_passages_lose_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    cases = [(f"g{i}", words(rng, rng.randint(20, 60))) for i in range(150)]
+    docs = [(i, words(rng, 40) + " " + cases[i % 150][1][rng.randrange(10) :][:90] + " " + words(rng, 40)) for i in range(200)]
+    monkeypatch.setattr(lk, "GROUP", 16)
+    monkeypatch.setattr(lk, "SENT", 200_000)
+    monkeypatch.setattr(lk, "EXACT_TERMS", 10)
+    d, c = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(cases, "c string, p string")
+    got = {(r["case"], r["key"]) for r in lk.leaks(d, "id", "text", c, "c", "p").where("verbatim").collect()}
+    want = brute(docs, cases)
+    assert len(want) >= 150 and got == want

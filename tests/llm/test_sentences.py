@@ -45,6 +45,28 @@ def test_scripts_without_spaces(model):
     assert cut("今日は動く。「動くか？」とモデルが聞く。終わり！", model) == ["今日は動く。", "「動くか？」とモデルが聞く。", "終わり！"]
 
 
+def test_marks_of_further_scripts(model):
+    for text in ["Սա նախադասություն է։ Սա ևս մեկն է։", "ይህ ዓረፍተ ነገር ነው። ይህ ሌላ ነው።", "ဒါက စာကြောင်းပါ။ နောက်တစ်ကြောင်းပါ။", "នេះជាប្រយោគ។ នេះជាប្រយោគមួយទៀត។"]:
+        assert len(cut(text, model)) == 2
+
+
+def test_operator_equals_a_loop_over_the_texts(spark, rows):
+    """The scan, written once, and the decisions per combination of signs give what each text gives alone."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id % 4 = 0 and text is not null").select("doc_id", "text", "fmt")
+    md = F.col("fmt") == "note"
+    data = se._rows(docs, "doc_id", "text", md, F.lit(True))
+    counts, weights = se.learn(data, se.scanned(data, False))
+    stats = se.Statistics(counts)
+    want = sorted((r["k"], i + 1, a, b) for r in data.collect() for i, (a, b) in enumerate(se.boundaries(r["t"], r["md"], stats, weights)))
+    got = se.sentences(docs, "doc_id", "text", md).collect()
+    assert sorted((r["doc_id"], r["sentence_no"], r["start_char"], r["end_char"]) for r in got) == want and len(want) > 2000
+    text = {r["k"]: r["t"] for r in data.collect()}
+    assert all(r["sentence"] == text[r["doc_id"]][r["start_char"] : r["end_char"]] for r in got)
+    assert se.sentences(docs, "doc_id", "text", md, only=F.col("fmt") == "plain").select("doc_id").distinct().count() == docs.where("fmt = 'plain' and trim(text) <> ''").count()
+
+
 def test_blank_lines_line_breaks_and_ends(model):
     text = "  Ohne Punkt\n\nZwei\nZeilen hier.\r\n\r\n \n.. \n\n"
     found = se.boundaries(text, False, model[0], model[1])
