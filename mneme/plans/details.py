@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from mneme import models, schemas
 from mneme.functions import text as tx
 from mneme.operators import chunking, embedding, evaluation, index, reports, retrieval
+from mneme.operators.vector_index import VectorIndex
 from mneme.plans import reporting
 from mneme.plans.inputs import NOTES_SQL, POINTS_SQL, QUERIES_SQL, UNITS_SQL, WHITE, notes, points, queries, stem_sql, strip_sql
 from mneme.sources import files, markdown
-from mneme.storage import scratch, table
+from mneme.storage import materialize, scratch, table
 
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +114,20 @@ def related_notes(spark: SparkSession, d: str) -> DataFrame:
     return found.join(anchors.select("query_id", "source_path"), "query_id").select("source_path", "point_id", F.round("score", 6).alias("score"), "rank")
 
 
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an index that looks into a fifth of its lists finds nine tenths of the ten nearest points of all queries, and into all lists, every one."""
+    p, q = points(spark, d, "domain", "dense"), queries(spark, d)
+    held = VectorIndex(p)
+    lists = len(held.centroids)
+    want = materialize(retrieval.dense_topn(q, p, 10).select(*retrieval.KEYS, "point_id"), "want")
+
+    def share(probes: int) -> DataFrame:
+        return want.join(held.search(q, 10, probes).select(*retrieval.KEYS, "point_id", F.lit(1).alias("hit")), [*retrieval.KEYS, "point_id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("r"))
+
+    some, all_ = share(max(1, -(-lists // 5))), share(lists)
+    return some.select((F.col("r") >= 0.9).alias("reached")).crossJoin(all_.select((F.col("r") == 1).alias("exact")))  # one row each
+
+
 def category_stats(spark: SparkSession, d: str) -> DataFrame:
     """Cases per type, and those with a question of even length, counted as passed."""
     rows = table(spark, d, "gold_cases").select(F.col("typ").alias("category"), (F.length("frage") % 2 == 0).alias("passed"))
@@ -162,7 +177,7 @@ def parsed_notes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     point_lookup, legacy_deleted, embedded_queries, embedded_sparse, embedded_tokens, late_chunks, late_sparse, sparse_pooled, pair_texts, fused_hits, fitting_sections,
-    heading_hints, item_bands, related_notes, category_stats, negative_scores, rank_only, judge_prompts, gold_read, parsed_notes,
+    heading_hints, item_bands, related_notes, index_recall, category_stats, negative_scores, rank_only, judge_prompts, gold_read, parsed_notes,
 )}
 
 _WITH = f"with {POINTS_SQL}"
@@ -229,6 +244,7 @@ anchors as (select source_path, arg_min(v, point_id) as v from usable group by 1
 select source_path, point_id, round(score, 6) as score, rank from (
   select a.source_path, p.point_id, array_cosine_similarity(a.v, p.v) as score, row_number() over (partition by a.source_path order by round(array_cosine_similarity(a.v, p.v), 9) desc, p.point_id) as rank
   from anchors a join usable p on p.source_path is distinct from a.source_path) where rank <= 3""",
+    "index_recall": "select true as reached, true as exact",
     "category_stats": "select typ as category, count(*) as cases, count(*) filter (length(frage) % 2 = 0) as passed from gold_cases group by 1",
     "negative_scores": f"with {reporting._EVAL} select count(*) as cases, round(median(best_score), 6) as median, round(min(best_score), 6) as least, round(max(best_score), 6) as most from scored where variant = 'k10' and typ = 'negativ' and best_score is not null",
     "rank_only": f"""with {reporting._EVAL}, wanted_words as (select id as case_id, string_split(frage, ' ')[2] as a, string_split(frage, ' ')[4] as b, soll[1].notiz as note from gold_cases)

@@ -184,3 +184,23 @@ def test_every_sub_query_is_reranked(spark):
     data = "/root/testdata/sf0.01"
     out = registry.queries()["rerank_pools"](spark, data)
     assert out.select("query_id", "sub_idx").distinct().count() == spark.read.parquet(f"{data}/query_vecs.parquet").select("query_id").distinct().count() == 10
+
+
+def test_index_with_all_probes_is_exact_and_with_few_is_near(spark):
+    import numpy as np
+
+    from mneme.operators.vector_index import VectorIndex, learn_centroids
+
+    rng = np.random.default_rng(5)
+    middle = rng.standard_normal((12, 8))
+    x = middle[rng.integers(0, 12, 900)] + 0.3 * rng.standard_normal((900, 8))
+    rows = [(f"p{i:03d}", ["a", "b", None][i % 3], v.tolist()) for i, v in enumerate(x)] + [("none", "a", None), ("zero", "a", [0.0] * 8)]
+    points = spark.createDataFrame(rows, "point_id string, domain string, dense array<float>")
+    asked = spark.createDataFrame([(i, 0, [None, "a"][i % 2], (middle[i % 12] + 0.2 * rng.standard_normal(8)).tolist()) for i in range(30)] + [(99, 0, None, None)], "query_id long, sub_idx int, domain string, dense array<float>")
+    held = VectorIndex(points)
+    want = {(r["query_id"], r["point_id"], r["rank"]) for r in rt.dense_topn(asked, points, 5).collect()}
+    assert {(r["query_id"], r["point_id"], r["rank"]) for r in held.search(asked, 5, len(held.centroids)).collect()} == want and len(want) == 150
+    some = {(r["query_id"], r["point_id"]) for r in held.search(asked, 5, max(1, len(held.centroids) // 4)).collect()}
+    assert len(some & {w[:2] for w in want}) >= 0.9 * len(want)
+    assert VectorIndex(points.limit(0)).search(asked, 5, 3).count() == 0
+    assert np.allclose(np.linalg.norm(learn_centroids(x / np.linalg.norm(x, axis=1, keepdims=True), 20), axis=1), 1)
