@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mneme.llm import leaks, markup, neardup, neighbours, pack, rankfuse, sentences, split
@@ -16,6 +16,17 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split(over, ["point_id"], ["header", "section_id"], only_oversized=True)
 
 
+def p1_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of every oversized point are short enough and overlap by no more than they may, and the hash of what they make without the overlaps."""
+    pieces = p1_pieces(spark, d)
+    order = Window.partitionBy("point_id").orderBy("piece")
+    placed = pieces.withColumn("repeated", F.coalesce(F.lag("end_char").over(order) - F.col("start_char"), F.lit(0)))
+    good = (F.length("piece_text") <= split.LIMIT) & F.col("repeated").between(0, split.OVERLAP) & ((F.col("piece") == 1) | (F.col("repeated") > 0))
+    fresh = F.struct("piece", F.expr("substring(piece_text, repeated + 1)").alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(fresh)), lambda x: x["t"]), "")
+    return placed.groupBy("point_id").agg(F.every(good).alias("within"), F.md5(whole).alias("hash"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where((F.col("piece") == 1) & (F.col("n_pieces") > 1)).select("point_id")
 
@@ -36,6 +47,11 @@ def p4_wrappers(spark: SparkSession, d: str) -> DataFrame:
     return markup.wrappers(markup.block_streams(_marked(spark, d), "point_id", "host"))
 
 
+def p4_unmarked(spark: SparkSession, d: str) -> DataFrame:
+    """The points whose text holds no markup, with the hash of their clean text."""
+    return p4_clean(spark, d).where((F.size("kinds") == 0) & F.col("text").isNotNull()).select("point_id", F.md5("clean").alias("hash"))
+
+
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     """The clean text of every point."""
     return markup.clean_texts(_marked(spark, d), "point_id", "host")
@@ -152,6 +168,7 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rejoined": p1_rejoined,
     "p2_found": p2_found,
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
@@ -161,6 +178,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_wrappers": p4_wrappers,
     "p4_clean": p4_clean,
+    "p4_unmarked": p4_unmarked,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p8_found": p8_found,
@@ -264,6 +282,8 @@ select point_id, 'latex' from plain where regexp_matches(t, '(?s)\\(?:begin|end)
 """
 ORACLES = {
     "p4_found": _MARKUP,
+    "p4_unmarked": f"with found as ({_MARKUP}) select point_id, md5(any_value(text)) as hash from chunks where text is not null and point_id not in (select point_id from found) group by point_id",
+    "p1_rejoined": r"select point_id, true as within, md5(any_value(trim(text, E' \t\r\n'))) as hash from chunks where length(trim(text, E' \t\r\n')) > 2800 group by 1",
     "p3_found": _NEAR + "select distinct least(point_id, neighbour) as point_a, greatest(point_id, neighbour) as point_b from best",
     "p3_neighbours": _NEAR + "select point_id, neighbour, round(similarity, 6) as similarity, position from best",
     "p3_nearest": _NEAR.replace("where similarity >= 0.9 ", "") + "select point_id, neighbour, round(similarity, 6) as similarity, position from best",
