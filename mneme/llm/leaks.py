@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mneme.storage import materialize, spread
+from mneme.storage import broadcast_if_small, materialize, spread
 
 GRAM = 8
 RUN, STRIDE, CELLS = 50, 60, 3
@@ -50,6 +50,8 @@ NEAR, PARAPHRASE = 0.9, 0.3
 MOST_BITS, BITS_PER_TERM, EXACT_TERMS = 30, 256, 1_000_000
 #: Characters of a document that are held as arrays at once; bytes of latent spaces that are sent to all tasks at once.
 STRETCH, SENT = 600_000, 64 << 20
+#: Characters of several documents that are looked up at once.
+TOGETHER = 100_000
 #: What a paraphrase must share: of the passage's characters in order, within a span of so many times its length, and of its figures.
 SUBSEQUENCE, SPAN, FIGURES = 0.8, 1.2, 0.8
 
@@ -62,10 +64,22 @@ def normal(text: str) -> str:
     return _DROP.sub("", text.lower())
 
 
-def grams(stream: str) -> np.ndarray:
-    """Hashes of all runs of GRAM characters, a power of two: runs are joined from two of half the length."""
-    h = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-    width = 1
+#: Per code point, whether it is a letter or digit; made once per process.
+_kept: list[np.ndarray] = []
+
+
+def codes_of(text: str) -> np.ndarray:
+    """The code points of ``normal(text)``."""
+    if not _kept:
+        _kept.append(np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000))
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes[_kept[0][codes]]
+
+
+def grams(stream: str | np.ndarray) -> np.ndarray:
+    """Hashes of all runs of GRAM characters (or code points), a power of two: runs are joined from two of half the length."""
+    codes = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32) if isinstance(stream, str) else stream
+    h, width = codes.astype(_U), 1
     while width < GRAM:
         if len(h) <= width:
             return np.empty(0, _U)
@@ -81,14 +95,20 @@ class TermTable:
         self._shift, self._terms = _U(64 - bits), terms
         self._known = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
 
-    def __call__(self, stream: str) -> tuple[np.ndarray, np.ndarray]:
-        h = grams(stream)
-        at = np.flatnonzero(self._known[(h >> self._shift).astype(np.int64)])
-        h = h[at]
+    def __call__(self, streams: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and terms of every stream of code points, found in all of them at once."""
+        lengths = np.fromiter(map(len, streams), np.int64, len(streams))
+        begin = np.concatenate(([0], np.cumsum(lengths)))
+        h = grams(np.concatenate(streams))
+        at = np.flatnonzero(self._known[(h >> self._shift).view(np.int64)])
+        of = np.searchsorted(begin, at, "right") - 1
+        inside = at + GRAM <= begin[of + 1]  # not the runs that reach into the next stream
+        at, of, h = at[inside], of[inside], h[at[inside]]
         if self._terms is not None and len(h):
             same = self._terms[np.minimum(np.searchsorted(self._terms, h), len(self._terms) - 1)] == h
-            at, h = at[same], h[same]
-        return at.astype(np.int32), h.view(np.int64)
+            at, of, h = at[same], of[same], h[same]
+        ends = np.searchsorted(of, np.arange(1, len(streams)))
+        return list(zip(np.split((at - begin[of]).astype(np.int32), ends), np.split(h.view(np.int64), ends)))
 
 
 #: Slots of the table that one task packs.
@@ -277,7 +297,7 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
-def _stretches(stream: str, stride: int) -> Iterator[tuple[int, str]]:
+def _stretches(stream: np.ndarray, stride: int) -> Iterator[tuple[int, np.ndarray]]:
     step = STRETCH - STRETCH % stride
     for base in range(0, max(1, len(stream)), step):
         yield base, stream[base : base + step + CELLS * stride]
@@ -314,12 +334,16 @@ def term_hits(docs: DataFrame, table: tuple[int, bytes, np.ndarray | None]) -> D
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = TermTable(*shared.value)
         for batch in batches:
-            rows = []
+            rows, waiting, held = [], [], 0
             for key, whole in zip(batch["key"], batch["t"]):
-                for base, part in _stretches(normal(whole), STRIDE):
-                    at, term = known(part)
-                    if len(at):
-                        rows.append((key, base, at, term))
+                for base, part in _stretches(codes_of(whole), STRIDE):
+                    waiting.append((key, base, part))
+                    held += len(part)
+                if held > TOGETHER:
+                    rows += [(key, base, at, term) for (key, base, _), (at, term) in zip(waiting, known([w[2] for w in waiting])) if len(at)]
+                    waiting, held = [], 0
+            if waiting:
+                rows += [(key, base, at, term) for (key, base, _), (at, term) in zip(waiting, known([w[2] for w in waiting])) if len(at)]
             yield pd.DataFrame(rows, columns=["key", "base", "at", "term"])
 
     return materialize(spread(docs).mapInPandas(find, f"key {dict(docs.dtypes)['key']}, base int, at array<int>, term array<long>"), "hits")
@@ -441,6 +465,7 @@ def leaks(docs: DataFrame, key: str, text: str, cases: DataFrame, case: str, pas
     weighted = _weighted(placed, hits, F.lit(docs.where(F.col(text).isNotNull()).count()))
     found = materialize(_candidates(hits, latent_spaces(weighted, width)), "candidates")
     checks = found.join(units, "pid").groupBy("key").agg(F.collect_list(F.struct("stream", "cases", "figures", "base", "cells")).alias("checks"))
+    checks = broadcast_if_small(materialize(checks, "checks"))  # where they are few, the texts need not move
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         checker = _Checker()
