@@ -45,14 +45,25 @@ def dense_topn(queries: DataFrame, points: DataFrame, n: int = PREFETCH, exclude
     owner = F.col(exclude) if exclude else F.lit(None).cast("string")
     usable = points.where(vx.norm(F.col("dense")) > 0).select("point_id", F.coalesce(code(F.col("domain")), F.lit(NO_DOMAIN)).alias("domain"), F.coalesce(code(owner), F.lit(NO_DOMAIN)).alias("owner"), "dense")
     asked = queries.where(vx.norm(F.col("dense")) > 0).select(*KEYS, F.coalesce(code(F.col("domain")), F.lit(ANY)).alias("domain"), F.coalesce(code(owner), F.lit(ANY)).alias("owner"), "dense")
+    found = spark.createDataFrame([], schema)
+    for rows in _blocks(asked):
+        found = found.unionByName(usable.mapInPandas(_dense_scan(spark, rows.to_pandas(), n), schema))
+    return top(found, KEYS, n, F.round("score", 9).desc(), F.col("point_id"))
+
+
+def _blocks(asked: DataFrame) -> Iterator:
+    """The rows of ``asked`` as Arrow tables of at most about ``QUERY_BLOCK`` rows; few enough come in one job."""
+    rows = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if len(rows) <= QUERY_BLOCK:
+        if len(rows):
+            yield rows
+        return
     asked = materialize(asked, "asked")
     blocks = -(-asked.count() // QUERY_BLOCK)
-    found = spark.createDataFrame([], schema)
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64(*KEYS), F.lit(blocks)) == block).toArrow()
         if len(rows):
-            found = found.unionByName(usable.mapInPandas(_dense_scan(spark, rows.to_pandas(), n), schema))
-    return top(found, KEYS, n, F.round("score", 9).desc(), F.col("point_id"))
+            yield rows
 
 
 def _dense_scan(spark, rows: pd.DataFrame, n: int):

@@ -129,7 +129,8 @@ class Vault:
     def _sub_queries(self, asked: DataFrame, decompose: bool) -> DataFrame:
         """``query_id, sub_idx, sub_query, domain`` and the encodings; without decomposition every question is its own only sub-query."""
         answer = models.generate(asked, F.concat(F.lit(DECOMPOSE), tx.sanitize(F.col("question"), 500)), self.generator) if decompose else asked.withColumn("answer", F.lit(None).cast("string"))
-        subs = retrieval.decompose(materialize(answer, "decomposed"), retrieval.salvage_list(F.col("answer")))
+        answer = materialize(answer, "decomposed") if decompose else answer
+        subs = retrieval.decompose(answer, retrieval.salvage_list(F.col("answer")))
         return models.encode_all(subs, F.col("sub_query"), self.encoder).select(*retrieval.KEYS, "sub_query", "domain", "dense", "sparse", "colbert")
 
     def search(self, questions: list[tuple[str, str | None]], top_k: int = 10, budget: int | None = None, use_cache: bool = True, decompose: bool = False) -> DataFrame:

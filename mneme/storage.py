@@ -71,6 +71,9 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for costly Python: only a scan of few or small files is shuffled for that."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(node in plan for node in ("Join", "Aggregate", "Window", "Repartition", "Sort", "Distinct")):
+        return df  # shuffled anyway; counting its partitions would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -204,3 +204,11 @@ def test_index_with_all_probes_is_exact_and_with_few_is_near(spark):
     assert len(some & {w[:2] for w in want}) >= 0.9 * len(want)
     assert VectorIndex(points.limit(0)).search(asked, 5, 3).count() == 0
     assert np.allclose(np.linalg.norm(learn_centroids(x / np.linalg.norm(x, axis=1, keepdims=True), 20), axis=1), 1)
+
+
+def test_queries_in_several_blocks_are_those_of_one(spark, monkeypatch):
+    points = spark.range(200).select(F.concat(F.lit("p"), F.col("id")).alias("point_id"), F.lit("a").alias("domain"), F.array(F.sin("id").cast("float"), F.cos(F.col("id") * 3).cast("float"), F.lit(0.2).cast("float")).alias("dense"))
+    asked = spark.range(40).select(F.col("id").alias("query_id"), F.lit(0).alias("sub_idx"), F.lit(None).cast("string").alias("domain"), F.array(F.cos("id").cast("float"), F.sin("id").cast("float"), F.lit(0.1).cast("float")).alias("dense"))
+    whole = {tuple(r) for r in rt.dense_topn(asked, points, 3).collect()}
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 7)
+    assert {tuple(r) for r in rt.dense_topn(asked, points, 3).collect()} == whole and len(whole) == 120
