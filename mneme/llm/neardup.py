@@ -6,7 +6,8 @@ so half the evaluations give the same number of signature values, each of which
 sets with a probability equal to their Jaccard similarity. A band joins the two values of two
 permutations; pairs of texts that share a band are candidates (1 - (1 - s^4)^bands of the pairs at
 similarity s) and are then checked exactly on their sets, which are made again for the candidates
-only. Band keys are spread over partitions of bounded size; the classes of one band are paired up in
+only. A sketch of one bit per signature value passes over pairs that are far below the similarity asked for
+before that (five standard deviations). Band keys are spread over partitions of bounded size; the classes of one band are paired up in
 blocks of ``BLOCK``, so a band that many different texts share is split over tasks, whatever its size.
 
 Texts with equal sets are one class, so copies cost one entry of the index per task that reads them.
@@ -18,6 +19,7 @@ rows of a key count once; rows without key are left out; a null owner is an owne
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -71,20 +73,37 @@ def runs(hashes: np.ndarray, run: int) -> np.ndarray:
 
 def signature(sets: list[np.ndarray], bands: int, seed: int = 7) -> np.ndarray:
     """Band keys (sets x bands) of non-empty sets; two permutations with least and greatest make a band."""
+    return _signatures(sets, bands, seed)[0]
+
+
+def _signatures(sets: list[np.ndarray], bands: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys, and a sketch: one bit of every signature value, 64 to a number."""
     drawn = np.random.default_rng(seed).integers(0, 1 << 63, (2 * bands, 2), dtype=np.uint64)
     shifts, factors = drawn[:, 0], drawn[:, 1] * _U(2) + _U(1)
     joined, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    keys = np.empty((len(sets), bands), _U)
+    keys, bits = np.empty((len(sets), bands), _U), np.zeros((len(sets), -(-ROWS * bands // 64) * 64), bool)
     for band in range(bands):
         key = np.full(len(sets), band + 1, _U)
         for i in (2 * band, 2 * band + 1):
             h = (joined ^ shifts[i]) * factors[i]
             h ^= h >> _U(32)
             h *= _U(0xD6E8FEB86659FD93)
-            for value in (np.minimum.reduceat(h, starts), np.maximum.reduceat(h, starts)):
+            for k, value in enumerate((np.minimum.reduceat(h, starts), np.maximum.reduceat(h, starts))):
                 key = (key ^ (key >> _U(31))) * _U(0xBF58476D1CE4E5B9) + value
+                bits[:, 2 * i + k] = (value >> _U(17)) & _U(1)
         keys[:, band] = (key >> _U(64 - KEY_BITS)) + (_U(band) << _U(KEY_BITS))
-    return keys.view(np.int64)
+    return keys.view(np.int64), np.packbits(bits, axis=1).view(np.int64)
+
+
+def least_agreement(least: float, bands: int) -> int:
+    """Bits of a sketch that two sets at a similarity of ``least`` have in common but with a probability of 3 in 10 million: five standard deviations below the mean."""
+    n, p = ROWS * bands, (1 + least) / 2
+    return max(0, math.floor(n * p - 5 * math.sqrt(n * p * (1 - p))))
+
+
+def class_of(sets: list[np.ndarray]) -> np.ndarray:
+    """One number per set, the same for equal sets."""
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], _U).view(np.int64)
 
 
 def _sets(batches: Iterator[pd.DataFrame], least_words: int, run: int, step: int = 1000) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -99,35 +118,36 @@ def _sets(batches: Iterator[pd.DataFrame], least_words: int, run: int, step: int
 
 
 def signed(texts: DataFrame, key: str, owner: str, text: str, least_words: int, run: int, bands: int) -> DataFrame:
-    """``key, owner, cls, bands`` for every row with enough words; written once. Bands are null where the same task gave them for the class before."""
+    """``key, owner, cls, bands, sketch`` for every row with enough words; written once. The last two are null where the same task gave them for the class before."""
     kind, owner_kind = dict(texts.dtypes)[key], dict(texts.dtypes)[owner]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         given: set[int] = set()
         for part, sets in _sets(batches, least_words, run):
-            classes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], _U).view(np.int64)
+            classes = class_of(sets)
             if len(given) > 1_000_000:
                 given.clear()
             fresh = [i for i, c in enumerate(classes.tolist()) if c not in given and not given.add(c)]
-            out: list = [None] * len(sets)
+            out, sketches = [None] * len(sets), [None] * len(sets)
             if fresh:
-                for i, row in zip(fresh, signature([sets[i] for i in fresh], bands)):
-                    out[i] = row
-            yield pd.DataFrame({"key": part["key"].to_numpy(), "owner": part["owner"].to_numpy(), "cls": classes, "bands": out})
+                for i, row, sketch in zip(fresh, *_signatures([sets[i] for i in fresh], bands)):
+                    out[i], sketches[i] = row, sketch
+            yield pd.DataFrame({"key": part["key"].to_numpy(), "owner": part["owner"].to_numpy(), "cls": classes, "bands": out, "sketch": sketches})
 
     rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(text).alias("text")
     )
-    return materialize(spread(rows).mapInPandas(sign, f"key {kind}, owner {owner_kind}, cls long, bands array<long>"), "signed")
+    return materialize(spread(rows).mapInPandas(sign, f"key {kind}, owner {owner_kind}, cls long, bands array<long>, sketch array<long>"), "signed")
 
 
 def banded_pairs(signed_rows: DataFrame, bands: int) -> DataFrame:
     """Pairs of classes (a < b) that share a band."""
     entries = signed_rows.where("bands is not null")
     parts = partitions_for(entries.count() * bands, 24, signed_rows.sparkSession.sparkContext.defaultParallelism, 32 << 20)
-    spread = entries.select("cls", F.explode("bands").alias("k")).repartition(parts, "k")
-    several = spread.groupBy("k").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("k")
-    shared = spread.join(several.hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(F.collect_set("cls").alias("c"))
+    # the filter is what the join below asks for anyway: with it in both branches they share one shuffle
+    placed = entries.select("cls", F.explode("bands").alias("k")).where("k is not null").repartition(parts, "k")
+    several = placed.groupBy("k").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("k")
+    shared = placed.join(several.hint("shuffle_hash"), "k").groupBy("k").agg(F.collect_set("cls").alias("c"))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("c") - 1) / BLOCK).cast("int")), lambda i: F.slice("c", i * BLOCK + 1, BLOCK))
     split = shared.select(blocks.alias("blocks")).select("blocks", F.posexplode("blocks").alias("i", "x"))
     met = split.select("x", F.explode(F.expr("slice(blocks, i + 1, size(blocks))")).alias("y")).repartition(parts, F.xxhash64("x", "y"))
@@ -137,17 +157,26 @@ def banded_pairs(signed_rows: DataFrame, bands: int) -> DataFrame:
 
 def similar_classes(texts: DataFrame, members: DataFrame, signed_rows: DataFrame, key: str, text: str, least: float, least_words: int, run: int, bands: int) -> DataFrame:
     """Pairs of classes (a < b) with their exact Jaccard similarity of at least ``least``."""
-    pairs = materialize(banded_pairs(signed_rows, bands), "pairs")
+    met = materialize(banded_pairs(signed_rows, bands), "met")
+    ends = met.select(F.col("a").alias("cls")).unionByName(met.select(F.col("b").alias("cls"))).distinct()
+    sketches = signed_rows.where("sketch is not null").select("cls", "sketch").join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("sketch").alias("sketch"))
+    sketches = materialize(sketches, "sketches")
+    x, y = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
+    width = -(-ROWS * bands // 64) * 64  # what is over in the last number agrees always
+    differing = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    agreeing = F.lit(width) - differing - (width - ROWS * bands)
+    pairs = materialize(met.join(x, "a").join(y, "b").where(agreeing >= least_agreement(least, bands)).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    first = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key"))
+    # written, so that its size is known: where it is small, the texts stay where they are
+    first = materialize(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")), "first")
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, sets in _sets(batches, least_words, run):
-            yield pd.DataFrame({"cls": part["cls"].to_numpy(), "items": [s.view(np.int64) for s in sets]})
+            own = part["cls"].to_numpy() == class_of(sets)  # a key may be repeated with another text
+            yield pd.DataFrame({"cls": part["cls"].to_numpy()[own], "items": [s.view(np.int64) for s, o in zip(sets, own) if o]})
 
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(first, "key")
-    sets = rows.mapInPandas(again, "cls long, items array<long>").groupBy("cls").agg(F.first("items").alias("items"))
-    sets = materialize(sets, "sets")
+    sets = materialize(rows.dropDuplicates(["cls", "text"]).mapInPandas(again, "cls long, items array<long>"), "sets")
     a, b = sets.select(F.col("cls").alias("a"), F.col("items").alias("ia")), sets.select(F.col("cls").alias("b"), F.col("items").alias("ib"))
     shared = F.size(F.array_intersect("ia", "ib"))
     jaccard = shared / (F.size("ia") + F.size("ib") - shared)

@@ -150,3 +150,11 @@ def test_copies_of_two_linked_classes_keep_a_pair_of_every_two_notes(spark):
     crossing = {(owner[r["a"]], owner[r["b"]]) for r in nd.pairs_of(members, links).collect() if r["a"][0] != r["b"][0]}
     assert crossing == {("x", "z"), ("y", "x"), ("y", "z")}
     assert {(r["a"], r["b"]) for r in nd.every_pair(members, links).collect()} == brute(data, 0.5, 20, 3)
+
+
+def test_a_key_repeated_with_another_text_counts_once(spark):
+    base = [f"w{i}" for i in range(40)]
+    data = [("a", "p", " ".join(base)), ("a", "p", " ".join(f"z{i}" for i in range(40))), ("b", "q", " ".join(base[:-1] + ["x"])), ("c", "r", " ".join([f"z{i}" for i in range(39)] + ["x"]))]
+    df = spark.createDataFrame(data, "key string, owner string, text string")
+    pairs = {(r["a"], r["b"]) for r in nd.every_pair(*nd.near_duplicates(df, "key", "owner", "text", 0.5, 20, 3)).collect()}
+    assert len(pairs) == 1 and pairs <= {("a", "b"), ("a", "c")}
