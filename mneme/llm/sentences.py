@@ -60,6 +60,8 @@ _OUT = r"\s.,;:!?…。！？｡।॥؟۔։።፧፨။។៕།༎෴،؛()\[\
 _TOKEN = re.compile(rf"[{_CJK}]|[^{_OUT}{_CJK}]+")
 _OPENING = "\"'“„‚‘«‹「『（([{¿¡*_"
 _CLOSING = "\"'”’»›」』）)]}“‘«*_"
+#: What is skipped on the way to the token behind; what may follow a space or line break and still close.
+_BEFORE_TOKEN, _CLOSING_BEHIND = frozenset(_OPENING + " \u00a0\u202f#"), frozenset("»」』”）")
 _PAIRS = {"“": "„", "‘": "‚", "«": "»"}
 _SPACE = re.compile(r"\s+")
 #: A decimal that a line break inside a text without spaces has cut.
@@ -185,20 +187,26 @@ class Candidate:
         self.end, self.mark = end, _mark(match[0])
         before = text[max(start, match.start() - 48) : match.start()]
         self.token = last_token(before)
-        head = before[: len(before) - len(self.token)].rstrip()
-        self.wider = f"D{min(len(self.token), 5)}" if self.token.isdigit() else f"{self.token}|"
         if self.mark != ".":
             self.key = self.wider = self.mark
-        elif self.token.isdigit():
+        else:
+            self._key(before[: len(before) - len(self.token)].rstrip())
+        self.closed = text[end - 1] if end > match.end() else ""
+        if end < stop and text[end] == " " and not text[end + 1 : end + 2].isspace():
+            self.start_of_next, self.gap = end + 1, "space"
+        else:
+            rest = _SPACE.match(text, end, stop)
+            self.start_of_next, self.gap = (rest.end(), "space") if rest else (end, "none")
+        self.look(text, self.start_of_next, stop)
+
+    def _key(self, head: str) -> None:
+        """The token with what stands before it, and a wider key for rare ones."""
+        self.wider = f"D{min(len(self.token), 5)}" if self.token.isdigit() else f"{self.token}|"
+        if self.token.isdigit():
             self.key = f"D{min(len(self.token), 5)}|{last_token(head.rstrip('.')) or head[-1:]}"
         else:
             kind = "dot" if head[-1:] == "." else "num" if head[-1:].isdigit() else "word"
             self.key = f"{self.token}|{kind}"
-        self.closed = text[end - 1] if end > match.end() else ""
-        rest = _SPACE.match(text, end, stop)
-        self.start_of_next = rest.end() if rest else end
-        self.gap = "space" if rest else "none"
-        self.look(text, self.start_of_next, stop)
 
     @property
     def shape(self) -> str:
@@ -213,7 +221,7 @@ class Candidate:
         """Take what stands at ``at`` as the token behind."""
         self.next_class = _class(text[at]) if at < stop else "end"
         opened = at
-        while at < stop and (text[at] in _OPENING or text[at] in " \u00a0\u202f#"):
+        while at < stop and text[at] in _BEFORE_TOKEN:
             at += 1
         found = _TOKEN.match(text, at, min(stop, at + 48))
         self.next = found[0] if found else text[at : at + 1]
@@ -236,7 +244,7 @@ def candidates(text: str, start: int, stop: int) -> Iterator[Candidate]:
                 continue
             if behind == "\n" and _BROKEN.match(text, max(start, end - 2), stop) and _CHARACTER.search(text, max(start, end - 25), min(stop, end + 24)):
                 continue
-        if behind in _CLOSING or behind.isspace():
+        if behind and (text[end + 1 : end + 2] in _CLOSING_BEHIND if behind.isspace() else behind in _CLOSING):
             end = _close(text, end, stop, signs)
         yield Candidate(text, start, stop, match, end)
 
