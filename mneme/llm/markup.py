@@ -11,8 +11,8 @@ tables, code and formulas are kept as Markdown.
 Fenced code, inline code and Windows paths are opaque; Markdown, ``[[note]]`` links, comparisons,
 prices and shell variables carry no token. Null and empty texts have no residue and stay as they
 are. Repeated rows of a key count once. A null host is a host of its own. Equal streams are counted
-before they move, streams of one host are folded in salted parts first, so neither a hot host nor a
-hot stream ends up in one task.
+before they move, streams of one host are folded in runs by their frequency first, so neither a hot host nor a
+hot stream ends up in one Python task (a host's distinct streams are sorted in one of the JVM).
 """
 
 from __future__ import annotations
@@ -21,20 +21,19 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import reduce
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mneme.storage import materialize, spread
 
 #: What a text must hold for any token to be possible; checked in the JVM.
 TRIGGER = r"<[A-Za-z/!]|&[A-Za-z#]|''|(?m:^={2,6})|\{\{|\{\||__[A-Z]|\[\[[^\]|]*:|\\|\$"
-#: Streams that one task folds; product of lengths that are still aligned (of longer pairs all places become optional, which reads
-#: more than either but nothing less); depth to which nested elements are looked into (deeper ones stay as they are).
-FOLD, LARGEST, DEEPEST = 2000, 4_000_000, 60
+#: Streams that one task folds; depth to which nested elements are looked into (deeper ones stay as they are).
+FOLD, DEEPEST = 2000, 60
 
 # fixed values: the elements of HTML
 _TAGS = (
@@ -273,20 +272,77 @@ def _maybe(item: str | list) -> list:
     return item if isinstance(item, list) and item[0] == "?" else ["?", [item]]
 
 
+def _longest(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """Start in ``a``, start in ``b`` and length of the longest run in both; of several the first in ``a``, then in ``b``.
+
+    The longer list is read through the suffix automaton of the shorter one: ``steps``, suffix link, length and first end per state.
+    """
+    short, long = (a, b) if len(a) < len(b) else (b, a)
+    steps: list[dict[str, int]] = [{}]
+    link, length, first, last = [-1], [0], [-1], 0
+    for at, key in enumerate(short):
+        state, new = last, len(steps)
+        steps.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        first.append(at)
+        while state >= 0 and key not in steps[state]:
+            steps[state][key] = new
+            state = link[state]
+        if state >= 0:
+            to = steps[state][key]
+            if length[to] > length[state] + 1:
+                copy = len(steps)
+                steps.append(dict(steps[to]))
+                link.append(link[to])
+                length.append(length[state] + 1)
+                first.append(first[to])
+                while state >= 0 and steps[state].get(key) == to:
+                    steps[state][key] = copy
+                    state = link[state]
+                link[to] = copy
+                to = copy
+            link[new] = to
+        last = new
+    state, size, best = 0, 0, (0, 0, 0)
+    for at, key in enumerate(long):
+        while state and key not in steps[state]:
+            state = link[state]
+            size = length[state]
+        if key in steps[state]:
+            state, size = steps[state][key], size + 1
+            ends = (at, first[state]) if long is a else (first[state], at)
+            best = min(best, (-size, ends[0] + 1 - size, ends[1] + 1 - size))
+    return best[1], best[2], -best[0]
+
+
+def _shared(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """Runs that both have, in order: the longest, then the same before and behind it. The same as difflib's matching blocks, which take it quadratic time per run."""
+    found, left = [], [(0, len(a), 0, len(b))]
+    while left:
+        a0, a1, b0, b1 = left.pop()
+        i, j, n = _longest(a[a0:a1], b[b0:b1])
+        if n:
+            i, j = a0 + i, b0 + j
+            found.append((i, j, n))
+            left += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
+    return sorted(found)
+
+
 def align(wrapper: list, sample: list) -> list:
     """A union-free wrapper that reads what either of the two reads."""
     if wrapper == sample:
         return wrapper
-    if len(wrapper) * len(sample) > LARGEST:  # too long to align: both become optional, one behind the other
-        return [*map(_maybe, wrapper), *map(_maybe, sample)]
     repeated = {_key(i)[1:] for i in [*wrapper, *sample] if isinstance(i, list) and _key(i)[0] == "+"}
+    if wrapper and sample and wrapper[0] == sample[0] and _unit_end(wrapper, 0) == len(wrapper) - 1 and _unit_end(sample, 0) == len(sample) - 1:
+        repeated.discard(wrapper[0])  # one element each: as groups of one they would be aligned again, without end
     a, b = (_lift(x, repeated) for x in (wrapper, sample))
     out: list = []
-    for op, a0, a1, b0, b1 in SequenceMatcher(None, list(map(_key, a)), list(map(_key, b)), autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [_merge(x, y) for x, y in zip(a[a0:a1], b[b0:b1])]
-        else:
-            out += [*map(_maybe, a[a0:a1]), *map(_maybe, b[b0:b1])]
+    a0 = b0 = 0
+    for i, j, n in [*_shared(list(map(_key, a)), list(map(_key, b))), (len(a), len(b), 0)]:
+        out += [*map(_maybe, a[a0:i]), *map(_maybe, b[b0:j])]
+        out += [_merge(x, y) for x, y in zip(a[i : i + n], b[j : j + n])]
+        a0, b0 = i + n, j + n
     return out
 
 
@@ -340,28 +396,33 @@ def block_streams(texts: DataFrame, key: str, host: str, text: str = "text") ->
 
 
 def wrappers(found: DataFrame) -> DataFrame:
-    """``host, kind, anchor, wrapper, n_streams`` (wrapper as JSON) from block streams."""
+    """``host, kind, anchor, wrapper, n_streams`` (wrapper as JSON) from block streams.
+
+    The streams of a host, kind and first token are folded from the most frequent one on, in runs of ``FOLD``, then runs of ``FOLD`` runs,
+    then what is left: a wrapper depends on its own streams only, not on how many the input has.
+    """
     hosts = dict(found.dtypes)["host"]
     group = ["host", "kind", "anchor"]
-    distinct = materialize(found.groupBy(*group, "stream").agg(F.count(F.lit(1)).alias("n")), "distinct")
-    schema = f"host {hosts}, kind string, anchor string, wrapper string, n_streams long"
+    names = [*group, "place", "stream", "wrapper", "n"]
+    schema = f"host {hosts}, kind string, anchor string, place long, stream string, wrapper string, n long"
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "stream"], ascending=[False, True])
-        wrapper = infer([json.loads(s) for s in rows["stream"]])
-        first = rows.iloc[0]
-        return pd.DataFrame([(first["host"], first["kind"], first["anchor"], json.dumps(wrapper, ensure_ascii=False), int(rows["n"].sum()))], columns=[*group, "wrapper", "n_streams"])
-
-    parts = distinct
-    count = parts.count()
-    while count > FOLD:  # every round leaves at most one wrapper per host, kind, anchor and salt
-        salt = F.pmod(F.xxhash64("stream"), F.lit(-(-count // FOLD)))
-        parts = parts.withColumn("salt", salt).groupBy(*group, "salt").applyInPandas(fold, schema)
-        parts = materialize(parts.select(*group, F.col("wrapper").alias("stream"), F.col("n_streams").alias("n")), "parts")
-        before, count = count, parts.count()
-        if count > before // 2:
-            break
-    return parts.groupBy(*group).applyInPandas(fold, schema)
+        rows = rows.sort_values("place")[names]
+        first = rows.head(1)
+        if first["wrapper"].iloc[0] is None:
+            wrapper = infer([json.loads(s) for s in rows["stream"]])
+        elif len(rows) > 1:
+            wrapper = reduce(align, map(json.loads, rows["wrapper"]))
+        else:
+            return first
+        return first.assign(stream=None, wrapper=json.dumps(wrapper, ensure_ascii=False), n=rows["n"].sum())
+
+    distinct = found.groupBy(*group, "stream").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), "stream")) - F.lit(1).cast("long")
+    parts = distinct.select(*group, place.alias("place"), "stream", F.lit(None).cast("string").alias("wrapper"), "n")
+    for run in (f"place div {FOLD}", f"place div {FOLD * FOLD}", "0"):
+        parts = parts.groupBy(*group, F.expr(run).alias("run")).applyInPandas(fold, schema)
+    return parts.select(*group, "wrapper", F.col("n").alias("n_streams"))
 
 
 def residue(texts: DataFrame, key: str, host: str, text: str = "text") -> DataFrame:

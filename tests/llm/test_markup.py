@@ -39,6 +39,27 @@ def test_wrappers_read_their_own_samples():
         assert all(mk.reads(wrapper, s) for s in samples)
 
 
+def test_long_streams_are_aligned_like_short_ones():
+    import random
+    from difflib import SequenceMatcher
+
+    for n in (20, 2100):
+        one = [f"\\c{i}{{}}" for i in range(n)]
+        other = [*one[:7], "\\other{}", *one[8:]]
+        assert mk.align(one, other) == [*one[:7], ["?", [one[7]]], ["?", ["\\other{}"]], *one[8:]]
+    rng = random.Random(5)
+    single = lambda blocks: [(i + k, j + k) for i, j, n in blocks for k in range(n)]
+    for _ in range(500):
+        a, b = (rng.choices("abcdefgh"[: rng.randint(1, 8)], k=rng.randint(0, 30)) for _ in range(2))
+        assert single(mk._shared(a, b)) == single(SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_alignment_of_nested_elements_ends():
+    samples = [["<li>"] * 3 + ["</li>"] * 3, ["<li>", "</li>"]]
+    wrapper = mk.infer(samples)
+    assert all(mk.reads(wrapper, s) for s in samples)
+
+
 def test_clean_text_keeps_structure():
     assert mk.clean("<h2>Titel</h2>\n<ul><li>a</li><li>b &amp; c</li></ul>") == "## Titel\n\n- a\n- b & c"
     assert mk.clean("<table><tr><td>1</td><td>2</td></tr></table>").strip() == "| 1 | 2 |"
@@ -71,3 +92,17 @@ def test_folding_in_parts_gives_one_wrapper_per_host(spark, monkeypatch):
     data = [(f"k{i}", "h", "<ul>" + "<li>x</li>" * (i % 5 + 1) + ("<hr>" if i % 2 else "") + "</ul>") for i in range(30)]
     df = spark.createDataFrame(data, "id string, host string, text string")
     assert mk.wrappers(mk.block_streams(df, "id", "host")).count() == 1 and mk.residue(df, "id", "host").where("matched").count() == 30
+
+
+def test_wrapper_of_a_host_does_not_depend_on_the_number_of_other_streams(spark, rows):
+    import random
+
+    rng = random.Random(2)
+    part = lambda: "".join(rng.choices(["<li>x</li>", "<hr>", "<b>x</b>", "<br>", "x"], k=rng.randint(1, 9)))
+    own = [(f"k{i}", "h", f"<ul>{part()}</ul>") for i in range(60)]
+    others = [(f"o{i}", f"o{i % 20}", "\\x{y} \\c" + "".join(chr(97 + int(c)) for c in str(i)) + "{y}") for i in range(2000)]
+    got = [
+        rows(mk.wrappers(mk.block_streams(spark.createDataFrame(data, "id string, host string, text string"), "id", "host")).where("host = 'h'"))
+        for data in (own, own + others)
+    ]
+    assert got[0] == got[1] and len(got[0]) == 1
