@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -121,14 +122,17 @@ class TokenEncoder(Protocol):
     def __call__(self, text: str) -> list[Token]: ...
 
 
+@lru_cache(1 << 14)
+def _word_token(word: str, width: int) -> tuple[int, float, list[float]]:
+    """Id, weight and vector of a word; the list is shared by its tokens."""
+    digest = _digest(word)
+    v = np.frombuffer(digest, np.uint8)[:width].astype(float) - 127.5
+    return int.from_bytes(digest[:3], "big"), digest[3] / 255, v.tolist()
+
+
 def word_tokens(text: str, width: int = 16) -> list[Token]:
     """A stand-in: words, with ids, weights and vectors from their digests, whatever the context."""
-    out = []
-    for m in re.finditer(r"\w+", text.lower()):
-        digest = _digest(m[0])
-        v = np.frombuffer(digest, np.uint8)[:width].astype(float) - 127.5
-        out.append(Token(m.start(), m.end(), int.from_bytes(digest[:3], "big"), digest[3] / 255, v.tolist()))
-    return out
+    return [Token(m.start(), m.end(), *_word_token(m[0], width)) for m in re.finditer(r"\w+", text.lower())]
 
 
 class Scorer(Protocol):

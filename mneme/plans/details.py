@@ -47,19 +47,19 @@ def embedded_tokens(spark: SparkSession, d: str) -> DataFrame:
     return each.select("query_id", "t", "i", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
-def _late(spark: SparkSession, d: str) -> DataFrame:
+def _late(spark: SparkSession, d: str, part: str) -> DataFrame:
     p = points(spark, d, "source_path", "chunk_id", "text").where("text is not null and source_path is not null and chunk_id is not null")
-    return embedding.embed_late(p, "point_id", "source_path", "chunk_id", F.col("text"), models.word_tokens, models.CHARACTER_TOKENS, limit=600)
+    return embedding.late_encodings(p, "point_id", "source_path", "chunk_id", F.col("text"), models.word_tokens, models.CHARACTER_TOKENS, limit=600, parts=(part,))
 
 
 def late_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Dense vectors of the points, pooled from windows of consecutive chunks, every coordinate."""
-    return _late(spark, d).select("point_id", F.posexplode("dense").alias("i", "v")).select("point_id", "i", F.round(F.col("v").cast("double"), 5).alias("v"))
+    return _late(spark, d, "dense").select("point_id", F.posexplode("dense").alias("i", "v")).select("point_id", "i", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
 def late_sparse(spark: SparkSession, d: str) -> DataFrame:
     """Sparse weights of the points from the same windows: the greatest of every token id."""
-    return _late(spark, d).select("point_id", F.explode("sparse").alias("token", "w")).select("point_id", "token", F.round(F.col("w").cast("double"), 5).alias("w"))
+    return _late(spark, d, "sparse").select("point_id", F.explode("sparse").alias("token", "w")).select("point_id", "token", F.round(F.col("w").cast("double"), 5).alias("w"))
 
 
 def sparse_pooled(spark: SparkSession, d: str) -> DataFrame:
